@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.text import code_point_key, n_words
+from voxmill.llm.text import code_point_key, given_id, held_id, n_words
 from voxmill.session import checkpoint
 
-SHARD, FAN_IN = 4096, 64
+SHARD, FAN_IN = 512, 64
 SMALL_TABLE = 10_000
 OPEN = "key string, class int, shard long, doc_id long, source string, size long, rows long, whole double, part double"
 
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0)
     table gives no rows.
     """
     key = F.coalesce(code_point_key(F.col("source")), F.lit("~"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("key"), n_words(F.col("text")).alias("size"))
+    sized = docs.select(held_id(F.col("doc_id")).alias("doc_id"), "source", key.alias("key"), n_words(F.col("text")).alias("size"))
     units = sized.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows"))
     units = checkpoint(units.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size") * F.col("rows")))).otherwise(-1).cast("int")))
     stats = checkpoint(units.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("words")))
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0)
     blank = units.where("size = 0").select("key", "doc_id", "source", "size", "rows", F.lit(1).cast("long").alias("copies"))
     out = settled.unionByName(blank).join(F.broadcast(targets) if targets.count() <= SMALL_TABLE else targets, "key", "left")
     out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select(given_id(F.col("doc_id")).alias("doc_id"), "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

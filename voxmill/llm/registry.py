@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import ann, mixing, topk
+from voxmill.llm import ann, chat, mixing, packing, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_query(table(spark, sf_dir, "conversations"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,5 +35,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_ann, op10_topk)}
-ORACLE_SQL = {"op10_topk": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_chat, op4_urls, op6_mixing, op7_ann, op10_topk)}
+ORACLE_SQL = {"op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE}

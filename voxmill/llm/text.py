@@ -152,6 +152,17 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 ranges = _ranges
 
 
+NO_ID = -(2**63)  # stands for a null id inside pandas code, where nulls would turn ids into doubles
+
+
+def held_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.expr(f"cast('{NO_ID}' as long)"))
+
+
+def given_id(doc_id: Column) -> Column:
+    return F.when(doc_id != F.expr(f"cast('{NO_ID}' as long)"), doc_id)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; stays in the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
