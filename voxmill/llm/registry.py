@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import ann, chat, mixing, packing, topk, urls
+from voxmill.llm import ann, chat, minhash, mixing, packing, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,13 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_chat, op4_urls, op6_mixing, op7_ann, op10_topk)}
-ORACLE_SQL = {"op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_chat, op4_urls, op6_mixing, op7_ann, op9_minhash, op10_topk)}
+ORACLE_SQL = {"op9_minhash": minhash.ORACLE, "op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
