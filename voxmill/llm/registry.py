@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import ann, chat, minhash, mixing, packing, topk, urls
+from voxmill.llm import ann, chat, minhash, mixing, packing, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_query(table(spark, sf_dir, "conversations"))
 
@@ -39,5 +43,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_chat, op4_urls, op6_mixing, op7_ann, op9_minhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_urls, op6_mixing, op7_ann, op9_minhash, op10_topk)}
 ORACLE_SQL = {"op9_minhash": minhash.ORACLE, "op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE}
