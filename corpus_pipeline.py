@@ -1,2 +1,65 @@
-STAGES=[];ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus from raw documents to packed bins, stage by stage.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
+returns the columns of documents; the last returns the bins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxmill.llm import lines, minhash, mixing, packing, toxicity
+from voxmill.session import checkpoint
+
+ORACLE_SQL = None  # a trained network, alignments and random rounding: tests hold each stage against a plain version
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, predicts to be toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go; a document goes if nothing of its text is left by that."""
+    deduped = lines.dedup_lines(docs)
+    empty = (F.col("deleted_lines") > 0) & (F.trim("text") == "")
+    changed = F.when(F.col("deleted_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return deduped.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", changed).select(*(f"`{c}`" for c in docs.columns))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document of the smallest id stays."""
+    found = minhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All words of all documents in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("line dedup", without_repeated_lines),
+    ("minhash near-dedup", one_of_each_group),
+    ("mixing sources", mixed),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each on what its predecessor kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs = checkpoint(docs)
+    return docs
