@@ -6,7 +6,8 @@ batch and the pair is dropped as soon as the posterior probability that its
 similarity reaches the threshold is under the chosen miss probability. Survivors
 are verified on their full sets. A bucket first links its members in a chain;
 then only members of different components are compared, so a large group of
-copies costs a link each and no link between different texts is lost.
+copies costs a link each and no link between different texts is lost. A large
+bucket is compared block by block, where its tasks return links, never pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from voxmill.session import checkpoint
 BANDS, ROWS, BATCH = 24, 4, 16
 SALTS = 64
 MISS = 1e-5
-BLOCK = 512
+SMALL, BLOCK, COLUMNS = 8, 256, 2048
 
 
 def pad(values: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -174,8 +175,15 @@ def chains(members: DataFrame) -> DataFrame:
     return inner.union(outer).where("other is not null").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def across(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> DataFrame:
-    """(a, b) of every bucket's members in different components that sizes and posterior don't rule out.
+def within_small(members: DataFrame) -> DataFrame:
+    """(a, b): members of different components in buckets of SMALL members at most."""
+    m = members.select("band", "key", "rep", "label")
+    other = m.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other"))
+    return m.withColumnRenamed("rep", "a").join(other, ["band", "key"]).where("a < b and label <> other").select("a", "b").distinct()
+
+
+def likely_in_large(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> DataFrame:
+    """(band, key, lo, hi, part, rep, label): the members of large buckets that have a likely partner in another component.
 
     ``members`` has band, key, rep, label, n, sig and blocks, the number of blocks
     that its bucket is cut into; a task gets two blocks at most.
@@ -186,19 +194,53 @@ def across(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-        rep, label, n, block = (pdf[c].to_numpy() for c in ("rep", "label", "n", "block"))
-        lo, hi, out = pdf["lo"].iat[0], pdf["hi"].iat[0], []
+        label, n, block = (pdf[c].to_numpy() for c in ("label", "n", "block"))
+        lo, hi, likely = pdf["lo"].iat[0], pdf["hi"].iat[0], np.zeros(len(pdf), bool)
         for i in np.flatnonzero(block == lo):
-            j = np.flatnonzero((label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & ((rep > rep[i]) if lo == hi else (block == hi)))
+            j = np.flatnonzero((label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent) & (block == hi))
             done, matches = 0, np.zeros(len(j), int)
             for stop, need in rule:
                 matches = matches + (sig[j, done:stop] == sig[i, done:stop]).sum(axis=1)
                 j, matches, done = j[matches >= need], matches[matches >= need], stop
-            out.append((np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [])
-        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+            likely[j] = True
+            likely[i] |= len(j) > 0
+        return pdf.loc[likely, ["band", "key", "lo", "hi", "block", "rep", "label"]]
+
+    return m.groupBy("band", "key", "lo", "hi").applyInPandas(run, "band int, key long, lo long, hi long, block long, rep long, label long")
+
 
-    return m.groupBy("band", "key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+def links_in_large(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked): a verified link for each pair of components that have one between two blocks of a bucket.
+
+    Intersections of all sets of both blocks come from products of incidence
+    matrices, a bounded number of shingles at a time.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        rep, label, block = (pdf[c].to_numpy() for c in ("rep", "label", "block"))
+        one, two = np.flatnonzero(block == pdf["lo"].iat[0]), np.flatnonzero(block == pdf["hi"].iat[0])
+        n = np.array([len(x) for x in sets])
+        _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[item] > 1
+        owner, item = np.repeat(np.arange(len(sets)), n)[shared], np.unique(item[shared], return_inverse=True)[1]
+        order = np.argsort(item, kind="stable")
+        owner, item = owner[order], item[order]
+        both = np.zeros((len(one), len(two)), np.float32)
+        for lo in range(0, int(item[-1]) + 1 if len(item) else 0, COLUMNS):
+            at = slice(*np.searchsorted(item, [lo, lo + COLUMNS]))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[owner[at], item[at] - lo] = 1
+            both += m[one] @ m[two].T
+        every = n[one][:, None] + n[two][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * every) & (label[one][:, None] != label[two][None, :]))
+        i, j = one[i], two[j]
+        pairs = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])])
+        first = np.unique(pairs, axis=1, return_index=True)[1]
+        i, j = i[first], j[first]
+        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}).astype("int64").assign(linked=True)
+
+    return likely.join(sets, "rep").groupBy("band", "key", "lo", "hi").applyInPandas(run, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -234,14 +276,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     rule = least_matches(hashes, BATCH, percent / 100, miss)
     tested = checkpoint(verify(prune(chains(members), sigs, rule, percent), sets, percent))
 
-    own = F.expr("coalesce(component, rep)")
-    labels = connected_components(tested.where("linked"), "a", "b").withColumnRenamed("node", "rep")
-    labelled = members.join(labels, "rep", "left").withColumn("label", own)
-    open_ = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band", "key")
-    left = labelled.join(open_, ["band", "key"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    more = across(left.join(sigs, "rep").select("band", "key", "rep", "label", "n", "sig", "blocks"), rule, percent)
-    more = verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
-    links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    def open_members(links: DataFrame) -> DataFrame:
+        """The members, with their components, of buckets that hold several components."""
+        labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
+        labelled = members.join(labels, "rep", "left").withColumn("label", F.expr("coalesce(component, rep)"))
+        several = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        return checkpoint(labelled.join(several.select("band", "key"), ["band", "key"]).select("band", "key", "rep", "label", "members"))
+
+    left = open_members(tested.where("linked"))
+    small, large = left.where(F.col("members") <= SMALL), left.where(F.col("members") > SMALL)
+    new = within_small(small).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    found = verify(prune(new, sigs, rule, percent), sets, percent)
+    large = large.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).join(sigs, "rep").select("band", "key", "rep", "label", "n", "sig", "blocks")
+    likely = checkpoint(likely_in_large(large, rule, percent))
+    found = found.union(links_in_large(likely, sets, percent))
+    links = tested.union(checkpoint(found)).where("linked").select("a", "b")
     found = connected_components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "component_id"})
     placed = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
