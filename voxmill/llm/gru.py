@@ -57,6 +57,18 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words((h >> np.uint64(33)).astype(np.int64) % WORDS, grams[order], ends, at.reshape(-1), rows)
 
 
+def joined(parts: list[Words]) -> Words:
+    """Several slices as one; a word of two slices stays twice."""
+    at, grams, word, rows = 0, 0, 0, []
+    moved = []
+    for w in parts:
+        moved.append((w.ends[:-1] + grams, w.at + word))
+        rows.append(w.rows[:-1] + at)
+        at, grams, word = at + len(w.at), grams + len(w.grams), word + len(w.word)
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return Words(cat([w.word for w in parts]), cat([w.grams for w in parts]), np.append(cat([e for e, _ in moved]), grams), cat([a for _, a in moved]), np.append(cat(rows), at))
+
+
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, words) of all overlapping windows; the last one of a long text ends with it."""
     n = np.diff(rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.gru import CHARS, WORDS, Adam, Network, Words, read_words, sigmoid, windows
+from voxmill.llm.gru import CHARS, WORDS, Adam, Network, Words, joined, read_words, sigmoid, windows
 from voxmill.llm.text import slices
 
 SAMPLE = 2400  # labelled texts that the network is fitted on, at most half of either class
@@ -79,10 +79,8 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], seed:
     the likeliest and another window of each clean text. A quarter of the sample only calibrates."""
     label, weight = np.array(labels, np.float64), np.array(weights, np.float64)
     base = float((label * weight).sum() / weight.sum()) if len(label) else 0.0
-    w = None
-    for _, data, at in slices(pa.array(texts, pa.large_string()), 1 << 40):
-        w = read_words(data, at)
-    if w is None or not 0 < label.sum() < len(label) or not len(w.at):
+    w = joined([read_words(data, at) for _, data, at in slices(pa.array(texts, pa.large_string()))])
+    if not 0 < label.sum() < len(label) or not len(w.at):
         return Model(base)
     rng = np.random.default_rng(seed)
     learn = np.ones(len(label), bool)
