@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from voxmill.session import checkpoint
 
+EDGES_A_TASK = 200_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Alternates two star steps, so the number of rounds follows the logarithm of the
     diameter. Each round's pairs are pre-aggregated before they are shuffled, and a
-    hub's pairs are split by Spark's skew join. Null ends and self loops are ignored;
-    an empty edge table gives an empty result.
+    hub's pairs are split by Spark's skew join. Rounds run in as many tasks as the
+    counted edges need. Null ends and self loops are ignored; an empty edge table
+    gives an empty result.
     """
     e = (
         edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -23,19 +26,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     e = checkpoint(e)
+    tasks = -(-e.count() // EDGES_A_TASK) or 1
+    e = e.coalesce(tasks)
     before = None
     for _ in range(max_rounds):
         # large star: every neighbour above a node goes to the node's smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         # small star: a node and the neighbours below it go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(hung.union(least.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpoint(hung.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    else:
+        raise RuntimeError(f"components aren't final after {max_rounds} rounds")
+    # a node and its component, each once
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
