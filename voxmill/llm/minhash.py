@@ -28,7 +28,7 @@ from voxmill.session import checkpoint
 BANDS, ROWS, BATCH = 24, 4, 16
 SALTS = 64
 MISS = 1e-5
-SMALL, BLOCK, COLUMNS = 8, 256, 2048
+SMALL, BLOCK, COLUMNS = 8, 1024, 2048
 
 
 def pad(values: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -276,23 +276,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     rule = least_matches(hashes, BATCH, percent / 100, miss)
     tested = checkpoint(verify(prune(chains(members), sigs, rule, percent), sets, percent))
 
-    def open_members(links: DataFrame) -> DataFrame:
-        """The members, with their components, of buckets that hold several components."""
-        labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
-        labelled = members.join(labels, "rep", "left").withColumn("label", F.expr("coalesce(component, rep)"))
-        several = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-        return checkpoint(labelled.join(several.select("band", "key"), ["band", "key"]).select("band", "key", "rep", "label", "members"))
+    labels = checkpoint(connected_components(tested.where("linked"), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label")))
+    labelled = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # the members of buckets that hold several components
+    several = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    left = checkpoint(labelled.join(several.select("band", "key"), ["band", "key"]).select("band", "key", "rep", "label", "members"))
 
-    left = open_members(tested.where("linked"))
     small, large = left.where(F.col("members") <= SMALL), left.where(F.col("members") > SMALL)
     new = within_small(small).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     found = verify(prune(new, sigs, rule, percent), sets, percent)
     large = large.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).join(sigs, "rep").select("band", "key", "rep", "label", "n", "sig", "blocks")
     likely = checkpoint(likely_in_large(large, rule, percent))
     found = found.union(links_in_large(likely, sets, percent))
-    links = tested.union(checkpoint(found)).where("linked").select("a", "b")
-    found = connected_components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "component_id"})
-    placed = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
+    more = checkpoint(found.where("linked"))
+    # what was found last joins components
+    for end in ("a", "b"):
+        more = more.join(labels.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    joined = connected_components(more, "label_a", "label_b").select(F.col("node").alias("label"), "component")
+    placed = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(joined, "label", "left")
+    placed = placed.select("doc_id", F.coalesce("component", "label").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
