@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,9 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for c in (0, 1)]
     ids = chosen[0].union(chosen[1])  # of a fixed size
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = sorted(texts.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect(), key=lambda r: r[0])
-    got = {c: sum(r[2] == c for r in rows) for c in (0, 1)}
-    return fit([r[1] for r in rows], [r[2] for r in rows], [counts[r[2]] / got[r[2]] for r in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r[0])
+        got = {c: sum(r[2] == c for r in rows) for c in (0, 1)}
+        model = fit([r[1] for r in rows], [r[2] for r in rows], [counts[r[2]] / got[r[2]] for r in rows])
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # the sample has a fixed bound, so one task can hold it; the driver gets the weights alone
+    fitted = texts.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).repartition(1).mapInPandas(run, "model binary")
+    return pickle.loads(fitted.first()[0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
