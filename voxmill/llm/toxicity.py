@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # the sample has a fixed bound, so one task can hold it; the driver gets the weights alone
     fitted = texts.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).repartition(1).mapInPandas(run, "model binary")
-    return pickle.loads(fitted.first()[0])
+    weights = fitted.first()  # none if Spark knows the sample to be empty
+    return pickle.loads(weights[0]) if weights else Model(0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
