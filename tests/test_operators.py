@@ -204,6 +204,24 @@ def test_conjugate_gradients_solve(spark):
     assert out.success and np.allclose([got[tuple(map(int, n))] for n in nodes], u.reshape(-1, 3), atol=1e-4)
 
 
+def test_multigrid_preconditioner_is_symmetric(spark):
+    from voxmill.operators import multigrid
+
+    rng = np.random.default_rng(0)
+    cells = cells_of(spark, list(product(range(4), range(2), range(2)))).withColumn("scale", F.lit(1.0))
+    cycle = multigrid.v_cycle(cells, 0.5, 0.25, coarse_steps=2)
+    base = elasticity.diagonal(cells, 0.5, 0.25).orderBy(*grid.KEY).collect()
+    out = []
+    for r in rng.normal(size=(2, len(base), 3)):
+        r[[n for n, d in enumerate(base) if d.i == 0]] = 0
+        rows = [(d.i, d.j, d.k, d.d0, d.d1, d.d2, *map(float, x), *([0.0] * 3 if d.i == 0 else [None] * 3)) for d, x in zip(base, r, strict=True)]
+        got = {(z.i, z.j, z.k): (z.z0, z.z1, z.z2) for z in cycle(spark.createDataFrame(rows, "i int, j int, k int, d0 double, d1 double, d2 double, r0 double, r1 double, r2 double, g0 double, g1 double, g2 double")).collect()}
+        out.append((r, np.array([got[d.i, d.j, d.k] for d in base])))
+    (x, mx), (y, my) = out
+    assert (mx * y).sum() == pytest.approx((my * x).sum()) and (mx * x).sum() > 0
+    assert all((m[[n for n, d in enumerate(base) if d.i == 0]] == 0).all() for m in (mx, my))
+
+
 def test_density_update_meets_the_volume(spark):
     cells = spark.createDataFrame([(i, 0, 0, 0.5, -float(1 + i % 7)) for i in range(50)], "i int, j int, k int, density double, dc0 double")
     new, _ = optimize.oc_step(cells, 20.0)
@@ -269,3 +287,52 @@ def test_state_round_trip(spark, tmp_path):
     assert n == 7 and keys(tables["cells"]) == set(BOX) and "dc0" not in tables["cells"].columns
     kept, out = snapshots.load_density(c, cells_of(spark, [(0, 0, 0), (9, 9, 9)], 3.0))
     assert kept.first().density == 1.0 and keys(out) == {(9, 9, 9)}
+
+
+def test_galerkin_product_equals_transferred_matrix(spark):
+    from voxmill.operators import multigrid
+
+    rng = np.random.default_rng(8)
+    fine_keys = list(product(range(4), range(2), range(2)))
+    scale = rng.random(16)
+    cells = spark.createDataFrame([(*c, float(s)) for c, s in zip(fine_keys, scale, strict=True)], "i int, j int, k int, scale double")
+    coarse = multigrid.coarse_cells(cells, 0.4, 0.7)
+    fine_nodes, k = dense_matrix(fine_keys, scale, 0.4, 0.7)
+    coarse_nodes = sorted(set(product(range(3), range(2), range(2))))
+    p = np.zeros((len(fine_nodes), len(coarse_nodes)))
+    for a, n in enumerate(fine_nodes):
+        for b, m in enumerate(coarse_nodes):
+            p[a, b] = np.prod([max(0, 1 - abs(x - 2 * y) / 2) for x, y in zip(n, m, strict=True)])
+    p = np.kron(p, np.eye(3))
+    u = rng.normal(size=(len(coarse_nodes), 3))
+    table = spark.createDataFrame([(*n, *map(float, x)) for n, x in zip(coarse_nodes, u, strict=True)], "i int, j int, k int, u0 double, u1 double, u2 double")
+    got = {(r.i, r.j, r.k): (r.f0, r.f1, r.f2) for r in multigrid.coarse_multiply(coarse, table, ["u0", "u1", "u2"]).collect()}
+    assert np.allclose([got[n] for n in coarse_nodes], (p.T @ k @ p @ u.ravel()).reshape(-1, 3))
+    d = {(r.i, r.j, r.k): (r.d0, r.d1, r.d2) for r in multigrid.coarse_diagonal(coarse).collect()}
+    assert np.allclose([d[n] for n in coarse_nodes], np.diag(p.T @ k @ p).reshape(-1, 3))
+    fine = spark.createDataFrame([(*map(int, n), *map(float, x)) for n, x in zip(fine_nodes, (p @ u.ravel()).reshape(-1, 3), strict=True)], "i int, j int, k int, u0 double, u1 double, u2 double")
+    up = {(r.i, r.j, r.k): (r.u0, r.u1, r.u2) for r in multigrid.prolong_vectors(table, fine, ["u0", "u1", "u2"]).collect()}
+    assert np.allclose([up[tuple(map(int, n))] for n in fine_nodes], (p @ u.ravel()).reshape(-1, 3))
+    down = {(r.i, r.j, r.k): (r.u0, r.u1, r.u2) for r in multigrid.restrict_vectors(fine, ["u0", "u1", "u2"]).collect()}
+    assert np.allclose([down[n] for n in coarse_nodes], (p.T @ p @ u.ravel()).reshape(-1, 3))
+
+
+def test_problem_files(spark, tmp_path):
+    import struct
+
+    from voxmill.sources import problems
+
+    data = [0.0] * 64
+    data[1 * 16 + 2 * 4 + 3] = 0.5
+    body = struct.pack("<ii", 3, 1) + struct.pack("<Q", 1) + struct.pack("<Q", 1) + b"a" + struct.pack("<Q", 2) + b"bc" + struct.pack("<QQ", 0, 0)
+    body += struct.pack("<dQ?", 0.01, 0, True) + struct.pack("<dd", 2.0, 1.0) + struct.pack("<iii", 8, 8, 8) + struct.pack("<Q", 1) + struct.pack("<iii64d", 4, 8, 12, *data)
+    body += struct.pack("<iiiid", 1, 0, 1, 1, 0.4) + struct.pack("<iii", 8, 8, 8) + struct.pack("<Qiiiddd", 1, 1, 2, 3, 0.0, -1.0, 0.0) + struct.pack("<Qiiiid", 1, 95, 6, 3, 2, 0.1234) + struct.pack("<Q", 0)
+    (tmp_path / "a.bin").write_bytes(struct.pack("<Q", len(body) + 8) + body)
+    cells = problems.read(spark, str(tmp_path)).collect()
+    assert [(r.i, r.j, r.k, r.density) for r in cells] == [(5, 10, 15, 0.5)]
+    assert [tuple(r)[1:] for r in problems.read(spark, str(tmp_path), "forces").collect()] == [(0, 1, 2, 3, 0.0, -1.0, 0.0)]
+    assert [tuple(r)[1:] for r in problems.read(spark, str(tmp_path), "dirichlet").collect()] == [(95, 6, 3, 2, 0.1234)]
+    block = problems.blocks(spark.createDataFrame([tuple(cells[0])[1:]], "i int, j int, k int, density double")).first()
+    assert (block.i, block.j, block.k) == (4, 8, 12) and block.data == data
+    with pytest.raises(ValueError):
+        problems.parse(b"\x00" * 8 + body)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.grid import KEY
@@ -25,9 +26,14 @@ def _columns(name: str) -> list[str]:
 
 
 def solve(
-    cells: DataFrame, forces: DataFrame, fixed: DataFrame, mu: float, lam: float, dx: float = 1.0, tolerance: float = 1e-4, max_iterations: int = 500, scale: str = "scale"
+    cells: DataFrame, forces: DataFrame, fixed: DataFrame, mu: float, lam: float, dx: float = 1.0, tolerance: float = 1e-4, max_iterations: int = 500, scale: str = "scale",
+    precondition: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Solution:
-    """Solves K u = f with u given on (i, j, k, axis, value) of ``fixed``; Jacobi preconditioner.
+    """Solves K u = f with u given on (i, j, k, axis, value) of ``fixed``.
+
+    ``precondition`` makes (i, j, k, z0, z1, z2) of a node table with the residual r0,
+    r1, r2, the diagonal d0, d1, d2 and the fixed values g0, g1, g2 (null where free);
+    it has to be symmetric. Without one, the diagonal is the preconditioner.
 
     Stops when the largest residual falls to ``tolerance`` times the first one, and
     raises if a search direction has no positive energy. Vectors are columns of one
@@ -42,7 +48,14 @@ def solve(
     r = {f"r{a}": free(a, F.col(f"b{a}") - F.coalesce(f"f{a}", F.lit(0.0))) for a in range(3)}
     n = checkpoint(start.select(*n.columns, *(c.alias(k) for k, c in r.items()), *(F.lit(0.0).alias(f"x{a}") for a in range(3)), *(F.lit(0.0).alias(f"s{a}") for a in range(3))))
     top = F.max(F.greatest(*(F.abs(f"r{a}") for a in range(3)))).alias("top")
-    z = lambda a: F.when(F.col(f"d{a}") != 0, F.col(f"r{a}") / F.col(f"d{a}")).otherwise(0.0)
+
+    def z(a: int) -> Column:
+        return F.col(f"z{a}") if precondition else F.when(F.col(f"d{a}") != 0, F.col(f"r{a}") / F.col(f"d{a}")).otherwise(0.0)
+
+    def conditioned(df: DataFrame) -> DataFrame:
+        return checkpoint(df.drop(*_columns("z")).join(precondition(df), KEY)) if precondition else df
+
+    n = conditioned(n)
     rho = F.sum(sum((F.col(f"r{a}") * z(a) for a in range(1, 3)), F.col("r0") * z(0))).alias("rho")
     first = before = None
     out = Solution(n)
@@ -63,5 +76,6 @@ def solve(
             raise ValueError("the system isn't positive definite: is a component without support?")
         alpha = F.lit(before / energy)
         n = n.withColumns({f"x{a}": F.col(f"x{a}") + alpha * F.col(f"s{a}") for a in range(3)} | {f"r{a}": F.col(f"r{a}") - alpha * F.col(f"f{a}") for a in range(3)}).drop(*_columns("f"))
+        n = conditioned(n)
     out.nodes = n.select(*KEY, *((F.col(f"u{a}") + F.col(f"x{a}")).alias(u) for a, u in enumerate(U)))
     return out
