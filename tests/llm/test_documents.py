@@ -246,6 +246,59 @@ def test_substrings_find_every_repeated_passage(spark, hard):
         assert len(x & y) == r.shared and len(x | y) == r.shingles
 
 
+def edited(rng, passage, edits):
+    """The passage with words replaced, put in or left out."""
+    out = list(passage)
+    for _ in range(edits):
+        x = rng.randrange(len(out))
+        out[x : x + rng.choice([1, 1, 0])] = rng.choice([[rng.randrange(10**6, 10**9)], []])
+    return out
+
+
+def test_edited_passages_stay_whole():
+    """Passages with evenly spread replaced words, far over the similarity, are found from end to end."""
+    for n, changes in ((60, 1), (70, 1), (100, 2), (300, 8)):
+        a = list(range(1000, 1000 + n))
+        b = list(a)
+        for x in range(changes):
+            b[n * (2 * x + 1) // (2 * changes)] = 10**6 + x
+        shingled = [np.array([hash(tuple(w[k : k + 5])) & 0xFFFFFFFF for k in range(len(w) - 4)], np.uint32) for w in (list(range(40)) + b + list(range(50, 90)), list(range(100, 130)) + a)]
+        assert any(p[0] <= 40 and p[1] >= 40 + n - 4 for p in substrings.aligned_passages(*shingled, 46, 75)), (n, changes)
+
+
+def test_passages_with_parts_in_another_order():
+    p, q = np.arange(30, dtype=np.uint32), np.arange(100, 130, dtype=np.uint32)
+    assert substrings.aligned_passages(np.concatenate([p, q]), np.concatenate([q, p]), 46, 75) == [(0, 60, 0, 60, 60, 60)]
+
+
+def test_edited_passages_cover_brute_force():
+    """Every shared shingle in two ranges of enough similarity is in a found passage, and every found passage is similar."""
+    rng, width, percent, covered = random.Random(11), 12, 75, 0
+    for _ in range(60):
+        passage = [rng.randrange(10**6) for _ in range(rng.randint(14, 40))]
+        other = [[rng.randrange(10**6, 10**9) for _ in range(rng.randint(0, 12))] for _ in range(4)]
+        words = [other[0] + passage + other[1], other[2] + edited(rng, passage, rng.randint(0, 4)) + other[3]]
+        b, a = (np.array([hash(tuple(w[k : k + 3])) & 0xFFFFFFFF for k in range(len(w) - 2)], np.uint32) for w in words)
+        if min(len(b), len(a)) < width:
+            continue
+        shared = np.zeros((len(b) + 1, len(a) + 1), int)
+        shared[1:, 1:] = (b[:, None] == a).cumsum(0).cumsum(1)
+        want = set()
+        for lo in range(len(b) - width + 1):
+            for hi in range(lo + width, len(b) + 1):
+                row = shared[hi] - shared[lo]
+                n = np.arange(len(a) + 1)
+                both, every = row - row[:, None], (n - n[:, None]) + hi - lo
+                similar = (n - n[:, None] >= width) & (100 * both >= percent * (every - both))
+                if similar.any():
+                    want |= {x for x in range(lo, hi) for y in np.flatnonzero(a == b[x]) if similar[: y + 1, y + 1 :].any()}
+        found = substrings.aligned_passages(b, a, width, percent)
+        assert all(100 * p[4] >= percent * p[5] and p[1] - p[0] >= width and p[3] - p[2] >= width for p in found)
+        assert want <= {x for p in found for x in range(p[0], p[1])}
+        covered += bool(want)
+    assert covered > 20
+
+
 def test_compact_windows_equal_their_definition():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 2**63, 200).astype(np.uint64)
