@@ -228,6 +228,35 @@ def test_line_dedup_equals_plain_version(spark):
         seen |= set(own)
 
 
+def test_lines_that_cross_go_on_to_the_next_holders(spark):
+    """Lines that cross in the alignment with their first holders, and blocks of frequent short lines."""
+    x, y = "one line that is long enough to be deleted by itself", "another line that is long enough to be deleted too"
+    rows = [(i, f"{y}\n{x}", "a") for i in range(9)] + [(20, f"own\n{x}", "a"), (21, f"{y}\nown too", "a")]
+    rows += [(22, f"{x}\nwords of its own\n{y}", "a")]  # every one of the first nine leaves a line
+    short = [f"short line {i} here" for i in range(3)]
+    rows += [(30 + i, f"{short[i]}\nonly {i}", "a") for i in range(3)] + [(40 + i, "\n".join([f"start {i}", *short, f"end {i}"]), "a") for i in range(8)]
+    rows = [(i, t + ("\n" + "fill of a first holder " * 2 + str(i) if i < 9 else ""), s) for i, t, s in rows]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert out[22] == "words of its own"
+    assert out[40] == rows[[r[0] for r in rows].index(40)][1]
+    assert all(out[40 + i] == f"start {i}\nend {i}" for i in range(1, 8))
+
+
+def test_line_runs_cover_every_block():
+    rng = random.Random(5)
+    sizes = np.array([rng.randint(0, 9) for _ in range(40)])
+    chars = np.array([rng.choice([0, 5, 11, 20, 45]) for _ in range(sizes.sum())], np.int32)
+    hashes = np.array([rng.randrange(-(2**62), 2**62) for _ in chars], np.int64)
+    first, last, key = lines.line_runs(hashes, chars, sizes, 40)
+    runs = list(zip(first.tolist(), last.tolist(), strict=True))
+    assert len(set(key.tolist())) == len(set(runs)) and all(chars[p : q + 1].sum() >= 40 for p, q in runs)
+    for hi, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        for p in range(hi - n, hi):
+            for q in range(p, hi):
+                if chars[p : q + 1].sum() >= 40:
+                    assert {x for x in range(p, q + 1) if chars[x]} <= {x for f, e in runs if p <= f and e <= q for x in range(f, e + 1)}
+
+
 def test_substrings_find_every_repeated_passage(spark, hard):
     out = substrings.repeated_passages(frame(spark, hard)).collect()
     first, repeated = {}, set()
