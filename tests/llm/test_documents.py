@@ -342,6 +342,14 @@ def test_compact_windows_equal_their_definition():
     assert set(zip(*(x.tolist() for x in substrings.compact_windows(g, rows, 7)), strict=True)) == want
 
 
+def test_minima_of_very_long_texts():
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 2**63, (1 << 20) + 5000).astype(np.uint64)
+    want = np.lib.stride_tricks.sliding_window_view(g >> np.uint64(20), 46)[-6000:].argmin(1) + np.arange(len(g) - 6045, len(g) - 45)
+    found = substrings.sliding_minima(g, 46)
+    assert len(found) == len(g) - 45 and (found[-6000:] == want).all()
+
+
 def test_toxicity_learns_and_scores_every_row(spark):
     rng = random.Random(1)
     rows, labels = [], []
