@@ -328,6 +328,14 @@ def test_edited_passages_cover_brute_force():
     assert covered > 20
 
 
+def test_windows_of_one_document_in_a_row_meet_another_document(spark):
+    """Value 8 stands in document 1 once and in document 2 twice, alike: both of these meet the first."""
+    at = lambda c: (c << 2 * substrings.SPAN) | (10 << substrings.SPAN) | 10
+    windows = spark.createDataFrame([(8, 1, at(20), 5), (8, 2, at(30), 5), (8, 2, at(400), 5)], "value long, doc_id long, w long, near int")
+    found = substrings.candidates(windows, 4, 2).collect()
+    assert {(r.b, r.a, r.b_lo, r.a_lo) for r in found} == {(2, 1, 20, 10), (2, 1, 390, 10)}
+
+
 def test_compact_windows_equal_their_definition():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 2**63, 200).astype(np.uint64)
