@@ -24,6 +24,7 @@ TURNS = [
     (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "bye"), (0, 3, "assistant", "ciao"),
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "what"), (1, 3, "assistant", "é"),
     (2, 0, "user", "alone"), (4, 0, None, None), (4, None, "user", "first"), (5, 0, "user", ""), (5, 0, "user", ""),
+    *((i, 0, "user", f"far {i // 2}") for i in (*range(2**60, 2**60 + 8), 2**53 + 1, -1, -2, -3, -(2**53) - 1, 2**63 - 1, -(2**63))),
     (6, 0, "user", "same"), (7, 0, "user", "same"), (None, 0, "user", "lost"), (9, 0, "assistant", "x" * 50_000),
 ]
 
@@ -33,8 +34,10 @@ def turns_of(spark, rows):
 
 
 def test_preferences(spark):
-    out = {r.pair_id: r for r in chat.format_preferences(turns_of(spark, TURNS)).collect()}
-    assert sorted(out) == [0, 1, 2, 3, 4]
+    rows = chat.format_preferences(turns_of(spark, TURNS)).collect()
+    out = {r.pair_id: r for r in rows}
+    assert len(out) == len(rows) and set(out) == {r[0] // 2 for r in TURNS if r[0] is not None}
+    assert all(out[2**59 + k].prompt_turns == 1 and out[2**59 + k].prompt == f"<|user|>\nfar {2**59 + k}<|end|>\n" for k in range(4))
     a = out[0]
     assert a.prompt == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n" and a.prompt_turns == 2
     assert a.chosen_text == "<|user|>\nbye<|end|>\n<|assistant|>\nciao<|end|>\n"

@@ -61,13 +61,13 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     """Preference pairs of a table of turns (conv_id, turn, role, text).
 
     The table names no preferences, so neighbours make the pairs: conversation 2k
-    is the chosen one and 2k + 1 the rejected one. A conversation without its
+    is the chosen one and 2k + 1 the rejected one, for all longs. A conversation without its
     neighbour still gives a row, whose other completion is empty. Turns go by turn
     (nulls first), then role and text; repeated rows are turns of their own; null
     roles and texts count as empty. Rows without a conv_id belong to no
     conversation. Other columns are ignored; an empty table gives no rows.
     """
-    c = conversations(turns).withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    c = conversations(turns).withColumn("pair_id", F.shiftright(F.col("conv_id").cast("long"), 1))
     side = F.pmod("conv_id", F.lit(2))
     pairs = c.groupBy("pair_id").agg(F.first(F.when(side == 0, F.col("turns")), ignorenulls=True).alias("chosen"), F.first(F.when(side == 1, F.col("turns")), ignorenulls=True).alias("rejected"))
     return format_pairs(pairs)
@@ -86,7 +86,7 @@ WITH t AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
   FROM conversations WHERE conv_id IS NOT NULL
 ), s AS (
-  SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, n, role, length(head) AS h, head || text || '<|end|>' || chr(10) AS shown FROM t
+  SELECT conv_id, conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS chosen, n, role, length(head) AS h, head || text || '<|end|>' || chr(10) AS shown FROM t
 ), m AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.n, b.n) AS n, coalesce(a.role = b.role AND a.shown = b.shown, false) AS same
   FROM (SELECT * FROM s WHERE chosen) a FULL JOIN (SELECT * FROM s WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.n = b.n
