@@ -328,12 +328,94 @@ def test_edited_passages_cover_brute_force():
     assert covered > 20
 
 
-def test_windows_of_one_document_in_a_row_meet_another_document(spark):
-    """Value 8 stands in document 1 once and in document 2 twice, alike: both of these meet the first."""
-    at = lambda c: (c << 2 * substrings.SPAN) | (10 << substrings.SPAN) | 10
-    windows = spark.createDataFrame([(8, 1, at(20), 5), (8, 2, at(30), 5), (8, 2, at(400), 5)], "value long, doc_id long, w long, near int")
-    found = substrings.candidates(windows, 4, 2).collect()
-    assert {(r.b, r.a, r.b_lo, r.a_lo) for r in found} == {(2, 1, 20, 10), (2, 1, 390, 10)}
+def windows(rows):
+    """(value, doc, centre, what stands on both sides, codes) with a reach of 40 to both sides."""
+    look = [(near << 30) | codes for *_, near, codes in rows]
+    columns = [*zip(*(r[:3] for r in rows), strict=True), [40] * len(rows), [40] * len(rows), look]
+    return {k: np.array(x, t) for (k, t), x in zip(substrings.WINDOW, columns, strict=True)}
+
+
+def test_blocks_of_windows_round_trip():
+    rng = np.random.default_rng(1)
+    w = {k: rng.integers(0, 2**31 - 1, 1000).astype(t) for k, t in substrings.WINDOW}
+    w["doc"][:2] = -(2**63), 2**63 - 1
+    w["value"][:2] = 2**64 - 1, 0
+    back = substrings.unpacked(substrings.packed(w), 1000)
+    assert all((back[k] == w[k]).all() and back[k].dtype == w[k].dtype for k in w)
+
+
+def test_windows_meet_every_class_of_their_value():
+    # document 1 twice, 2 twice and 3 on the same surroundings; 4 and 5 each on their own
+    w, start = substrings.classes(windows([(8, 2, 30, 5, 0), (8, 1, 20, 5, 0), (8, 3, 7, 5, 0), (8, 2, 400, 5, 0), (8, 4, 9, 6, 0), (8, 5, 11, 7, 0), (12, 6, 9, 5, 0)]))
+    met = np.concatenate([substrings.meetings(w, i, j, 46, 2) for i, j in substrings.partners(w, start)])
+    assert {(int(m["b"]), int(m["a"]), int(m["bc"]), int(m["ac"])) for m in met} == {(2, 1, 30, 20), (2, 1, 400, 20), (3, 1, 7, 20), (4, 1, 9, 20), (5, 1, 11, 20), (5, 4, 11, 9)}
+
+
+def test_very_common_values_meet_like_surroundings():
+    rng = random.Random(6)
+    kinds = [rng.randrange(2**30) for _ in range(400)]
+    rows = [(8, 2 * i + half, 50, 1000 * i + half, code) for i, code in enumerate(kinds) for half in (0, 1)]
+    w, start = substrings.classes(windows(rows))
+    met = np.concatenate([substrings.meetings(w, i, j, 46, 2) for i, j in substrings.partners(w, start)])
+    assert {(2 * i + 1, 2 * i) for i in range(400)} <= set(zip(met["b"].tolist(), met["a"].tolist(), strict=True))
+    assert len(met) <= 3 * 16 * len(rows)
+
+
+def test_hot_classes_are_linked_before_the_shuffle(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 90, 10**6)
+    rows = [(i, f"{prose(rng, 60, 10**6)} {passage} {prose(rng, 60, 10**6)}", "a") for i in range(60)]
+    blocks = substrings.window_blocks(frame(spark, rows).coalesce(1).select("doc_id", "text"), 46, 5, 4, 3).collect()
+    assert any(b.links for b in blocks) and len({b.bucket for b in blocks if not b.links}) == 3
+    out = substrings.repeated_passages(frame(spark, rows).coalesce(1)).collect()
+    assert {r.doc_id for r in out} == set(range(1, 60))
+    assert all(min(r.end, 150) - max(r.start, 60) >= 85 for r in out if r.source_id == 0)
+
+
+def groups_of(rows):
+    """Documents that found passages connect."""
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in rows:
+        a, b = sorted((top(r.source_id), top(r.doc_id)))
+        up[b] = a
+    return top
+
+
+@pytest.mark.parametrize(("families", "size", "words", "edits"), [(150, 2, 60, 1), (150, 2, 100, 2), (30, 10, 100, 1), (3, 100, 100, 1)])
+def test_edited_passages_are_found(spark, families, size, words, edits):
+    """Passages between unlike words; of the pairs that brute force calls similar, nearly all are connected."""
+    rng = random.Random(words * size)
+    rows, passages, pairs = [], {}, []
+    for f in range(families):
+        base = [rng.randrange(20_000) for _ in range(words)]
+        ids = range(f * size, (f + 1) * size)
+        for i in ids:
+            own = list(base)
+            for _ in range(edits if i % 2 or size > 2 else 0):
+                own[rng.randrange(words)] = rng.randrange(10**6, 10**9)
+            passages[i] = shingle_set(" ".join(map(str, own)))
+            rows.append((i, " ".join([prose(rng, 80, 20_000), *map(str, own), prose(rng, 80, 20_000)]), "a"))
+        pairs += [(a, b) for a, b in combinations(ids, 2) if 100 * len(passages[a] & passages[b]) >= 75 * len(passages[a] | passages[b])]
+    out = substrings.repeated_passages(frame(spark, rows)).collect()
+    top = groups_of([r for r in out if r.start <= 80 + words // 2 < r.end])
+    assert np.mean([top(a) == top(b) for a, b in pairs]) >= 0.97
+    assert len({top(i) for i in range(families * size)}) >= families
+    direct = {(r.source_id, r.doc_id) for r in out}
+    assert size > 2 or np.mean([p in direct for p in pairs]) >= 0.97
+
+
+def test_passages_behind_a_million_words(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 70, 10**6)
+    long_ = " ".join(f"v{i}" for i in range(2**20 + 1000))
+    out = substrings.repeated_passages(frame(spark, [(1, f"{prose(rng, 20, 10**6)} {passage}", "a"), (2, f"{long_} {passage} end", "a")])).collect()
+    assert {(r.doc_id, r.start, r.source_id, r.source_start) for r in out} == {(2, 2**20 + 1000, 1, 20)} and out[0].end >= 2**20 + 1070
 
 
 def test_compact_windows_equal_their_definition():
