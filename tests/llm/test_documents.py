@@ -372,6 +372,29 @@ def test_hot_classes_are_linked_before_the_shuffle(spark):
     assert all(min(r.end, 150) - max(r.start, 60) >= 85 for r in out if r.source_id == 0)
 
 
+def test_groups_of_passages(spark):
+    rows = [(2, 10, 70, 1, 0, 60, 50, 56), (3, 5, 65, 2, 12, 72, 50, 56), (4, 0, 60, 2, 200, 260, 50, 56), (9, 3, 70, 8, 3, 70, 60, 60), (3, 300, 400, 1, 500, 600, 90, 96)]
+    found = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in substrings.NAMES))
+    out = {(r.doc_id, r.start): (r.group_id, r.group_start) for r in substrings.passage_groups(found).collect()}
+    assert out == {(2, 10): (1, 0), (3, 5): (1, 0), (4, 0): (2, 200), (9, 3): (8, 3), (3, 300): (1, 500)}
+    assert substrings.passage_groups(found.limit(0)).count() == 0
+
+
+def test_exact_runs_cover_every_repeat():
+    rng = random.Random(13)
+    for _ in range(400):
+        kinds, width = rng.choice([2, 3, 50]), rng.choice([3, 5, 8])
+        a, b = (np.array([rng.randrange(kinds) for _ in range(rng.randint(0, 60))], np.uint64) for _ in range(2))
+        if min(len(a), len(b)) > 20:
+            b[5:20] = a[2:17]
+        lo = rng.randint(0, 5)
+        own, held = b[lo:41].tolist(), {tuple(a[j : j + width].tolist()) for j in range(len(a) - width + 1)}
+        want = {lo + i + x for i in range(len(own) - width + 1) if tuple(own[i : i + width]) in held for x in range(width)}
+        runs = substrings.exact_runs(b, a, lo, 40, width)
+        assert {x for p in runs for x in range(p[0], p[1])} == want
+        assert all((b[p[0] : p[1]] == a[p[2] : p[3]]).all() and p[1] - p[0] >= width for p in runs)
+
+
 def groups_of(rows):
     """Documents that found passages connect."""
     up = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxmill.llm import ann, chat, lines, minhash, mixing, packing, substrings, topk, toxicity, urls
+from voxmill.session import checkpoint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return substrings.passage_groups(checkpoint(substrings.repeated_passages(table(spark, sf_dir, "documents"))))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
