@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -61,18 +62,41 @@ def test_slices_cover_all_rows_of_sliced_arrays():
     assert sum(n for _, n, _ in seen) == 4 and b"".join(d for *_, d in seen) == b"yy" + b"z" * 30
 
 
-def test_near_duplicates_equal_brute_force(spark, hard):
-    rows = [r for r in hard if r[0] is not None and r[0] != 8]
-    out = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows)).collect()}
-    sets = {i: shingle_set(t) for i, t, _ in rows}
-    group = {i: i for i in sets}
-    for a, b in combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+def plain_components(rows):
+    """Smallest reachable doc_id of each doc_id; all texts of a repeated one count."""
+    sets = [(i, shingle_set(t)) for i, t, _ in rows if i is not None]
+    group = {i: i for i, _ in sets}
+    for (a, x), (b, y) in combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
             old, new = max(group[a], group[b]), min(group[a], group[b])
             group = {k: new if v == old else v for k, v in group.items()}
-    for i in sets:
-        assert (out[i].n_shingles, out[i].component_id, out[i].kept) == (len(sets[i]), group[i], group[i] == i)
+    return group
+
+
+def test_near_duplicates_equal_brute_force(spark, hard):
+    group = plain_components(hard)
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, hard)).collect()]
+    want = [(i, len(shingle_set(t)), group.get(i), group.get(i) == i or i is None) for i, t, _ in hard]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """A document with several texts links what each of them is like, whatever their sizes and order."""
+    rng = random.Random(14)
+    a, b, c, d = (prose(rng, n, 10**6) for n in (60, 90, 70, 80))
+    rows = [(1, a, "a"), (2, a, "a"), (2, b, "a"), (9, b + " end", "a"), (5, c, "a"), (5, c, "a"), (5, d, "b"), (7, d, "a"), (7, None, "a"), (4, c + " x", "a"), (8, prose(rng, 30, 10**6), "a"), (8, "", "a")]
+    out = minhash.near_duplicates(frame(spark, rows)).collect()
+    group = plain_components(rows)
+    assert group[9] == 1 and group[7] == 4
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == sorted((i, len(shingle_set(t)), group[i], group[i] == i) for i, t, _ in rows)
+
+
+def test_near_duplicates_equal_sql(spark, hard):
+    db = duckdb.connect()
+    db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", hard)
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, hard)).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, db.sql(minhash.ORACLE).fetchall()))
 
 
 def test_near_duplicates_of_hard_rows(spark, hard):

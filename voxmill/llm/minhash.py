@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, hashes: int, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, items): the sorted distinct shingle hashes of the wanted (rep, n, k1)'s texts."""
+    """(rep, items): the sorted distinct shingle hashes of the wanted (rep, holder, n, k1)'s texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +115,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 own = [i for i, x in enumerate(sets) if len(x) == n[first + i] and set_key(x) == k1[first + i]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["rep", "items"])
 
-    w = wanted.select(F.col("rep").alias("doc_id"), "n", "k1")
-    return docs.join(w, "doc_id").select("doc_id", "text", "n", "k1").mapInArrow(run, "rep long, items binary")
+    w = wanted.select(F.col("holder").alias("doc_id"), "rep", "n", "k1")
+    return docs.join(w, "doc_id").select("rep", "text", "n", "k1").mapInArrow(run, "rep long, items binary")
 
 
 def running(x: np.ndarray) -> np.ndarray:
@@ -249,20 +249,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     Reads doc_id and text; other columns are ignored. Texts with 100 * intersection
     >= percent * union of their shingle sets are linked; the component is the
     smallest doc_id that can be reached. Texts without words, null ones too, are
-    linked with nothing. Rows that repeat a doc_id share its component; of their
-    texts the one of most shingles is linked. Rows with a null doc_id are linked with nothing and kept. An empty
-    table gives no rows. A pair right at the threshold misses all bands with a
+    linked with nothing. Rows that repeat a doc_id are one document: each keeps its
+    own n_shingles, the links of all its texts count, and all share its component.
+    Rows with a null doc_id are linked with nothing and kept. An empty table gives
+    no rows. A pair right at the threshold misses all bands with a
     chance of (1 - s**rows)**bands, and is pruned with a chance of about ``miss``.
     """
     hashes = bands * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = checkpoint(fingerprints(texts, hashes, size))
-    # one text for each id: of texts that share an id, the one of most shingles is linked
-    known = prints.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.*")
-    classes = known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes, ["n", "k1", "k2"]).select("doc_id", "rep")
-    chosen = classes.withColumnRenamed("rep", "doc_id")
-    sigs = prints.join(chosen, ["doc_id", "n", "k1", "k2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "k1", "sig")
+    # a class are the rows of one set; a document whose rows have several sets is in several classes, which it links
+    known = prints.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2").distinct()
+    most = known.groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2")).alias("s"), F.count("*").alias("sets"))
+    known = checkpoint(known.join(most, "doc_id").withColumn("main", F.col("s") == F.struct("n", "k1", "k2")).select("doc_id", "n", "k1", "k2", "main", "sets"))
+    # its name is the smallest doc_id that has no larger set, else a hash: no two classes have the same
+    named = F.coalesce(F.min(F.when(F.col("main"), F.col("doc_id"))), F.xxhash64("n", "k1", "k2")).alias("rep")
+    classes = known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("holder"), named)
+    reps = known.join(classes, ["n", "k1", "k2"]).select("doc_id", "rep", "sets")
+    chosen = classes.withColumnRenamed("holder", "doc_id")
+    sigs = prints.join(chosen, ["doc_id", "n", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", F.col("doc_id").alias("holder"), "n", "k1", "sig")
     sigs = checkpoint(sigs)
 
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
@@ -292,27 +297,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     # what was found last joins components
     for end in ("a", "b"):
         more = more.join(labels.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    joined = connected_components(more, "label_a", "label_b").select(F.col("node").alias("label"), "component")
-    placed = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(joined, "label", "left")
-    placed = placed.select("doc_id", F.coalesce("component", "label").alias("component_id"))
+    # so do the sets of one document
+    label = F.coalesce("label", "rep").alias("label")
+    several = reps.where("sets > 1").join(labels, "rep", "left").select("doc_id", label)
+    own = several.join(several.groupBy("doc_id").agg(F.min("label").alias("least")), "doc_id").select(F.col("label").alias("label_a"), F.col("least").alias("label_b"))
+    joined = connected_components(more.select("label_a", "label_b").union(own), "label_a", "label_b").select(F.col("node").alias("label"), "component")
+    placed = reps.join(labels, "rep", "left").select("doc_id", label).join(joined, "label", "left").select("doc_id", F.coalesce("component", "label").alias("label"))
+    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    placed = placed.join(smallest, "label").select("doc_id", "component_id").distinct()
     out = prints.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  SELECT row, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w
-), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), e AS (SELECT row, doc_id, len(s) AS n, unnest(s) AS x FROM s WHERE doc_id IS NOT NULL
 ), f AS (SELECT * FROM e WHERE x IN (SELECT x FROM e GROUP BY x HAVING count(*) > 1)
 ), p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+  GROUP BY a.row, b.row, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
 ), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
 ), r AS (SELECT DISTINCT a AS id, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
 ), c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c, s.doc_id) = s.doc_id AS kept
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c = s.doc_id, true) AS kept
 FROM s LEFT JOIN c ON c.id = s.doc_id
 """
