@@ -12,11 +12,11 @@ import pytest
 
 from voxmill.llm import gru, lines, minhash, mixing, packing, substrings, text, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, n long, h string, words int, d string, rep long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, n long, h string, words int, d string, rep long, _LINE_key string, _line_doc int, _mix int, _mix_size int, lines int, bucket int, links int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, 0, 5, "k", 1, "h", 2, "d", 3) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, 0, 5, "k", 1, "h", 2, "d", 3, "l", 4, 5, 6, 7, 8, 9) for i, t, s in rows], SCHEMA)
 
 
 def words_of(t):
@@ -266,6 +266,34 @@ def test_lines_that_cross_go_on_to_the_next_holders(spark):
     assert all(out[40 + i] == f"start {i}\nend {i}" for i in range(1, 8))
 
 
+def test_short_lines_of_many_holders_equal_brute_force(spark):
+    """What any earlier document has of each, in blocks aligned one pair at a time; no line occurs twice in a document."""
+    rng = random.Random(15)
+    pool = [("x" * rng.randint(3, 16)) + f" {i}" for i in range(60)]
+    docs = []
+    for i in range(90):
+        at = [rng.randrange(55) for _ in range(rng.randint(1, 4))]
+        own = list(dict.fromkeys(x for p in at for x in pool[p : p + rng.randint(1, 7)]))
+        own.insert(rng.randint(0, len(own)), f"document {i}'s line")
+        docs.append(own)
+    first = [[f"{pool[k]}", f"only in {k} here"] for k in range(0, 60, 6)]  # the block's lines are first held one by one
+    docs = first + docs + [["begin", *pool[0:60:6], "end"] for _ in range(3)]
+    out = {r.doc_id: (r.text, r.deleted_lines) for r in lines.dedup_lines(frame(spark, [(i, "\n".join(d), "a") for i, d in enumerate(docs)])).collect()}
+    for i, d in enumerate(docs):
+        gone = set()
+        for e in docs[:i]:
+            gone.update(lines.common_blocks([hash(x) for x in e], [hash(x) for x in d], [len(x) for x in d], lines.MIN_CHARS))
+        assert out[i] == ("\n".join(x for k, x in enumerate(d) if k not in gone), len(gone)), i
+    assert out[len(docs) - 1][0] == ""
+
+
+def test_lines_are_alike_whatever_spaces_stand_around_them(spark):
+    line = "17 lines of digits and words that are long enough, 10"
+    texts = ["\n".join(["own", *["fill"] * i, " " * i + line + " " * (i % 2)]) for i in range(12)]
+    out = {r.doc_id: r.deleted_lines for r in lines.dedup_lines(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert out[0] == 0 and all(out[i] >= 1 for i in range(1, 12))
+
+
 def test_line_runs_cover_every_block():
     rng = random.Random(5)
     sizes = np.array([rng.randint(0, 9) for _ in range(40)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.text import mix, powers
+from voxmill.llm.text import free_name, mix, powers
 from voxmill.session import checkpoint
 
 RARE = 4
@@ -165,7 +165,7 @@ KEY = "struct<doc_id:long,text:long>"
 
 def common_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(d, lines): for each document the 0-based lines that an earlier one already has, in aligned blocks."""
-    trimmed = F.transform(F.split("text", "\n"), F.trim)
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))  # a function of two would get the position, too
     lines = docs.where(F.col("text").isNotNull()).select(_key(F.col("text")).alias("d"), trimmed.alias("t"))
     lines = lines.select("d", F.transform("t", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("t", F.length).alias("chars"))
     lines = checkpoint(lines.dropDuplicates(["d"]))
@@ -210,13 +210,15 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -
     to one: of a run that stands several times in a document, one deleted copy is
     enough to ask no further holders, so further copies may stay.
     """
-    found = common_lines(docs, rare, min_chars).select(F.col("d.doc_id").alias("_line_doc"), F.col("d.text").alias("_line_text"), F.col("lines").alias("_line_found"))
-    own = docs.withColumn("_line_key", F.xxhash64("text"))
-    on = own["doc_id"].cast("long").eqNullSafe(found["_line_doc"]) & (own["_line_key"] == found["_line_text"])
-    joined = own.join(found, on, "left").withColumn("_line_split", F.split("text", "\n"))
-    count = F.coalesce(F.size("_line_split"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_line_split") - 1), "_line_found")
-    text = F.when(F.col("_line_found").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_line_split")[i]), "\n"))
-    n = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(count).cast("long"), "deleted_lines": F.coalesce(F.when(F.col("_line_found").isNotNull(), F.size("_line_found")), F.lit(0)).cast("long")}
+    tag = free_name(docs.columns, "_line")
+    doc, key, gone, split = (f"{tag}_{x}" for x in ("doc", "key", "gone", "split"))
+    found = common_lines(docs, rare, min_chars).select(F.col("d.doc_id").alias(doc), F.col("d.text").alias(f"{key}_found"), F.col("lines").alias(gone))
+    own = docs.withColumn(key, F.xxhash64("text"))
+    on = own["doc_id"].cast("long").eqNullSafe(found[doc]) & (own[key] == found[f"{key}_found"])
+    joined = own.join(found, on, "left").withColumn(split, F.split("text", "\n"))
+    count = F.coalesce(F.size(split), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col(split)[i]), "\n"))
+    n = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(count).cast("long"), "deleted_lines": F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).cast("long")}
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in n]
     return joined.select(*columns, *(c.alias(k) for k, c in n.items()))

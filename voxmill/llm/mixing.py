@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.text import code_point_key, given_id, held_id, n_words
+from voxmill.llm.text import code_point_key, free_name, given_id, held_id, n_words
 from voxmill.session import checkpoint
 
 SHARD, FAN_IN = 512, 64
@@ -131,7 +131,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them: each as often as its copies, with their own columns."""
     copies = mix(docs, **settings).select("doc_id", "source", "size", "copies").distinct()
     names = [f"`{c}`" for c in docs.columns]
-    own = docs.withColumn("_mix_size", n_words(F.col("text")))
-    on = own["doc_id"].eqNullSafe(copies["doc_id"]) & own["source"].eqNullSafe(copies["source"]) & (own["_mix_size"] == copies["size"])
-    taken = own.join(copies, on).where(copies["copies"] > 0).select(*(own[c] for c in names), F.sequence(F.lit(1).cast("long"), copies["copies"]).alias("_mix_copy"))
-    return taken.withColumn("_mix_copy", F.explode("_mix_copy")).drop("_mix_copy")
+    size = free_name(docs.columns, "_mix")
+    own = docs.withColumn(size, n_words(F.col("text")))
+    on = own["doc_id"].eqNullSafe(copies["doc_id"]) & own["source"].eqNullSafe(copies["source"]) & (own[size] == copies["size"])
+    taken = own.join(copies, on).where(copies["copies"] > 0).select(*(own[c] for c in names), F.sequence(F.lit(1).cast("long"), copies["copies"]).alias(size))
+    return taken.withColumn(size, F.explode(size)).drop(size)

@@ -163,6 +163,13 @@ def given_id(doc_id: Column) -> Column:
     return F.when(doc_id != F.expr(f"cast('{NO_ID}' as long)"), doc_id)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column begins with it, whatever its case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; stays in the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
