@@ -46,13 +46,36 @@ def test_ann_finds_all_neighbours_of_a_small_table(spark):
         assert np.allclose([s for _, s in found[q]], [s for _, s in want])
 
 
-def test_ann_recall_with_small_windows(spark):
+def recall_of(found, x, k=20):
+    ids = np.arange(len(x))
+    hit = [len({v for v, _ in found[q]} & {v for v, _ in brute(x.astype(float) @ x[q].astype(float), ids, q, k)}) for q in found]
+    return sum(hit) / (k * len(found))
+
+
+def test_ann_windows_follow_the_vectors(spark, monkeypatch):
+    """Clustered vectors get narrow windows, vectors without structure wide ones; both reach the recall."""
     rng = np.random.default_rng(3)
-    x = (rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 8))).astype(np.float32)
-    df = spark.createDataFrame(rows_of(enumerate(x)), SCHEMA)
-    found = got(ann.search(df, block=400))
-    hit = sum(len({v for v, _ in found[q]} & {v for v, _ in brute(x.astype(float) @ x[q].astype(float), np.arange(4000), q, 20)}) for q in found)
-    assert hit >= 0.9 * 20 * len(found)
+    clustered = (rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 8))).astype(np.float32)
+    clustered /= np.linalg.norm(clustered, axis=1, keepdims=True)
+    sphere = rng.normal(size=(4000, 48)).astype(np.float32)
+    sphere /= np.linalg.norm(sphere, axis=1, keepdims=True)
+    looked, measured = [], ann.measured_windows
+    monkeypatch.setattr(ann, "measured_windows", lambda *a: looked.append(measured(*a)) or looked[-1])
+    for x in (clustered, sphere):
+        found = got(ann.search(spark.createDataFrame(rows_of(enumerate(x)), SCHEMA), block=400))
+        assert len(found) == 200 and recall_of(found, x) >= 0.9
+    (few, narrow), (many, wide) = looked
+    assert few * (2 * narrow + 1) < 4000 / 3 and many * min(4000, 2 * wide + 1) <= 4000
+
+
+def test_ann_measures_with_true_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 6))
+    reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, e array<double>").repartition(3)
+    pairs = ann.true_neighbours(reps, reps.where("vec_id % 50 = 0"), 7)
+    want = {(q, v) for q in range(0, 500, 50) for v, _ in brute(x @ x[q], np.arange(500), q, 7)}
+    assert len(pairs) == len(want) and set(pairs) == want
+    assert ann.true_neighbours(reps, reps.limit(0), 7) == []
 
 
 def test_hilbert_curve_visits_every_cell_by_single_steps():

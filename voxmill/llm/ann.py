@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by shifted Hilbert orderings.
 
 Vectors are projected on their main directions; every ordering rotates and
-shifts them anew and sorts them along a Hilbert curve. A query looks at its own
-block of an ordering and at the blocks before and after; what all orderings
-find is merged and scored again on the original vectors.
+shifts them anew and sorts them along a Hilbert curve. A query looks at a window
+of each ordering around its own place; what all orderings find is merged and
+scored on the original vectors. How wide the windows have to be depends on the
+vectors, so it is measured: some queries' true neighbours are looked up in the
+orderings, and as many orderings with such windows are taken as reach the recall
+with the fewest inner products.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 from voxmill.llm.vectors import stack, taking_part
 from voxmill.session import checkpoint
 
-ORDERINGS, DIMS, BITS, BLOCK = 8, 9, 6, 4096
-SAMPLE = 20_000
+ORDERINGS, DIMS, BITS = 8, 9, 6
+LEAST, BLOCK, REACH, CHUNK = 128, 4096, 4, 16  # rows of a block at least and at most; blocks of a wide window to either side; blocks whose queries go together
+SAMPLE, PROBES = 20_000, 64  # vectors that the projection is fitted on; queries that the windows are measured with
+RECALL = 0.95
 SCHEMA = "query_rep long, rep long, score double"
 
 
@@ -82,11 +88,21 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
     return pd.DataFrame({"query_rep": np.concatenate(a), "rep": np.concatenate(b), "score": np.concatenate(s)})
 
 
+def projection(reps: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """fit_projection of at most SAMPLE vectors, chosen by hash, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [x for pdf in batches for x in pdf.e]
+        yield pd.DataFrame({"fit": [pickle.dumps(fit_projection(stack(pd.Series(rows)), dims))]})
+
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("e").repartition(1)
+    return pickle.loads(sample.mapInPandas(run, "fit binary").first()[0])
+
+
 def ranked_orderings(reps: DataFrame, n: int, dims: int, orderings: int, bits: int) -> DataFrame:
     """(ordering, vec_id, place): each vector's place in each ordering, from one range-partitioned sort."""
     spark = reps.sparkSession
-    rows = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("e").toPandas()
-    mean, axes, extent = fit_projection(stack(rows.e), min(dims, 62 // bits))
+    mean, axes, extent = projection(reps, min(dims, 62 // bits))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,7 +124,42 @@ def ranked_orderings(reps: DataFrame, n: int, dims: int, orderings: int, bits: i
     return placed.withColumn("p", part).join(F.broadcast(offsets), "p").select("ordering", "vec_id", (F.col("before") + F.col("at").bitwiseAND(mask) - F.col("ordering") * F.lit(n)).alias("place"))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def true_neighbours(reps: DataFrame, probes: DataFrame, k: int) -> list[tuple[int, int]]:
+    """(query, neighbour): the k nearest of at most PROBES queries, by brute force over all rows."""
+    q = probes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toPandas()
+    if not len(q):
+        return []
+    x, ids = stack(q.e), q.vec_id.to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"query_rep": [], "rep": [], "score": []})
+        for pdf in batches:
+            if len(pdf):
+                found = nearest(x, ids, stack(pdf.e), pdf.vec_id.to_numpy(), k + 1)
+                best = pd.concat([best, found]).sort_values(["score", "rep"], ascending=[False, True]).groupby("query_rep").head(k + 1)
+        yield best.astype({"query_rep": "int64", "rep": "int64", "score": "float64"})
+
+    found = reps.select("vec_id", "e").mapInPandas(run, SCHEMA).where("query_rep <> rep")
+    found = found.withColumn("n", F.expr("row_number() over (partition by query_rep order by score desc, rep)")).where(F.col("n") <= k)
+    return [(r.query_rep, r.rep) for r in found.select("query_rep", "rep").collect()]  # PROBES * k rows
+
+
+def measured_windows(where: DataFrame, pairs: list[tuple[int, int]], n: int, orderings: int, recall: float) -> tuple[int, int]:
+    """(orderings, places to either side) that reach the recall on the given pairs with the fewest inner products."""
+    if not pairs:
+        return 1, n
+    spark = where.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "vec_id long"))
+    place = {(r.ordering, r.vec_id): r.place for r in where.join(asked, "vec_id").collect()}
+    q, c = (np.array([[place[m, p[i]] for p in pairs] for m in range(orderings)]) for i in (0, 1))
+    far = np.minimum.accumulate(np.abs(q - c), axis=0)  # by the orderings so far
+    reach = np.sort(far, axis=1)[:, min(len(pairs) - 1, int(np.ceil(recall * len(pairs))))]
+    cost = [(m + 1) * min(n, 2 * int(w) + 1) for m, w in enumerate(reach)]
+    best = int(np.argmin(cost))
+    return best + 1, int(reach[best])
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """The k nearest found of each query by inner product; columns query_id, rank, vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows
@@ -117,7 +168,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
     all that a result can hold. Null, zero, empty and non-finite vectors and null
     ids take no part; equal rows count once; ties go to the smaller vec_id; an
     empty table gives no rows. Other columns are ignored. The projection is fitted
-    on at most SAMPLE vectors; every vector is indexed.
+    on at most SAMPLE vectors, and the windows are measured with at most PROBES
+    queries against all rows; every vector is indexed. Vectors without structure get
+    windows of nearly all rows: then no ordering saves much, but none costs more
+    than brute force.
     """
     v = taking_part(vectors).where(F.exists(F.col("e"), lambda x: x != 0)).withColumn("dim", F.size("e"))
     v = v.select("vec_id", "dim", F.transform("e", lambda x: x + F.lit(0.0)).alias("e"))
@@ -131,10 +185,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
     found = None
     for dim, n in classes.groupBy("dim").count().collect():  # a row for each dimension
         reps = classes.where(F.col("dim") == dim)
-        where = ranked_orderings(reps.select("vec_id", "e"), n, dims, orderings, bits).withColumn("block", (F.col("place") / block).cast("int"))
-        rows = where.join(reps.select("vec_id", "e"), "vec_id")
-        near = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1))
-        q = where.join(reps.join(asked, ["k1", "k2"], "left_semi").select("vec_id", "e"), "vec_id").withColumn("block", near)
+        own = reps.join(asked, ["k1", "k2"], "left_semi").select("vec_id", "e")
+        where = ranked_orderings(reps.select("vec_id", "e"), n, dims, orderings, bits)
+        used, wide = measured_windows(where, true_neighbours(reps, own, k), n, orderings, recall)
+        size = min(block, max(LEAST, -(-wide // REACH)))
+        reach, last = -(-wide // size), (n - 1) // size
+        at = where.where(F.col("ordering") < used).withColumn("block", (F.col("place") / size).cast("long"))
+        # a block meets the queries of CHUNK blocks at a time
+        chunks = F.sequence((F.greatest(F.col("block") - reach, F.lit(0)) / CHUNK).cast("long"), (F.least(F.col("block") + reach, F.lit(last)) / CHUNK).cast("long"))
+        rows = at.join(reps.select("vec_id", "e"), "vec_id").withColumn("chunk", F.explode(chunks))
+        near = F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(last))))
+        q = at.join(own, "vec_id").withColumn("chunk", (F.col("block") / CHUNK).cast("long")).withColumn("block", near)
         q = q.toDF(*q.columns)
 
         def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +203,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
                 return pd.DataFrame({"query_rep": [], "rep": [], "score": []})
             return nearest(stack(left.e), left.vec_id.to_numpy(), stack(right.e), right.vec_id.to_numpy(), k + 1)
 
-        seen = q.groupBy("ordering", "block").cogroup(rows.groupBy("ordering", "block")).applyInPandas(look, SCHEMA)
+        key = ("ordering", "block", "chunk")
+        seen = q.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(look, SCHEMA)
         found = seen if found is None else found.unionByName(seen)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], SCHEMA)
