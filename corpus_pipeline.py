@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import lines, minhash, mixing, packing, toxicity
+from voxmill.llm.text import free_name
 from voxmill.session import checkpoint
 
 ORACLE_SQL = None  # a trained network, alignments and random rounding: tests hold each stage against a plain version
@@ -22,18 +23,30 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; a document goes if nothing of its text is left by that."""
+    """Lines that an earlier document has go; a document goes if nothing of its text is left by that.
+
+    Where the text has changed and there is a column n_chars, it is counted anew.
+    """
     deduped = lines.dedup_lines(docs)
     empty = (F.col("deleted_lines") > 0) & (F.trim("text") == "")
-    changed = F.when(F.col("deleted_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return deduped.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", changed).select(*(f"`{c}`" for c in docs.columns))
+    kept = deduped.where(~F.coalesce(empty, F.lit(False)))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("deleted_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", changed)
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document of the smallest id stays."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """Of near-duplicates the document of the smallest id stays; of its rows with the same text, one.
+
+    Rows of one doc_id with different texts are one document, which keeps them; rows without a doc_id stay.
+    """
+    found = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept"))
+    mark = free_name(docs.columns, "_mark")
+    marked = docs.join(checkpoint(found.where("rows > 1 or not kept")).select("doc_id", F.struct("rows", "kept").alias(mark)), "doc_id", "left")
+    once = marked.where(F.col(mark).isNull())
+    again = marked.where(F.col(mark)["kept"]).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
