@@ -8,9 +8,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxmill.llm import chat, registry, urls
+from voxmill.llm import chat, lines, mixing, registry, toxicity, urls
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -171,13 +172,12 @@ def test_pipeline_stages(spark, corpus):
     kept = {r.doc_id for r in seen["toxicity"]}
     clean = {i for i, k in kind.items() if k != "toxic"}
     assert len(kept & clean) >= 0.95 * len(clean) and len(kept - clean - {500, 501}) <= 4 and {500, 501} <= kept
-    lines = {r.doc_id: r for r in seen["line dedup"]}
-    assert not any(kind.get(i) == "copy" and i - 300 in () for i in lines)
-    assert all(kind.get(i) != "copy" or before[i] != r.text for i, r in lines.items())
-    assert all(r.text == before[i] and r.n_chars == len(r.text) for i, r in lines.items() if kind.get(i) == "clean")
+    deduped = {r.doc_id: r for r in seen["line dedup"]}
+    assert all(kind.get(i) != "copy" or before[i] != r.text for i, r in deduped.items())
+    assert all(r.text == before[i] and r.n_chars == len(r.text) for i, r in deduped.items() if kind.get(i) == "clean")
     near = {r.doc_id for r in seen["minhash near-dedup"]}
-    assert near <= set(lines) and not any(kind.get(i) == "near" and (i in near) for i in range(400, 410) if [x for x in kind if kind[x] == "clean"][i - 390] in near)
-    assert {i for i in lines if kind.get(i) == "clean"} <= near
+    assert near <= set(deduped) and not any(kind.get(i) == "near" and (i in near) for i in range(400, 410) if [x for x in kind if kind[x] == "clean"][i - 390] in near)
+    assert {i for i in deduped if kind.get(i) == "clean"} <= near
     taken = Counter(r.doc_id for r in seen["mixing sources"])
     assert set(taken) <= near and max(taken.values()) <= 3
     words = defaultdict(int)
@@ -187,5 +187,62 @@ def test_pipeline_stages(spark, corpus):
     assert sum(words.values()) == sum(len((r.text or "").split()) for r in seen["mixing sources"])
 
 
+def test_pipeline_on_repeated_rows(spark, corpus, tmp_path):
+    """Rows that repeat a document with its text stay once; texts that share a doc_id are one document."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").where("doc_id in (1, 2, 4, 5, 7, 300)")
+    other = docs.where("doc_id = 7").selectExpr("2L as doc_id", "concat(text, ' and a bit more') as text", "lang", "source", "n_chars")
+    docs = docs.union(docs.where("doc_id < 5")).union(other).withColumns({"_mark": F.lit(1), "rows": F.lit(2), "kept": F.lit(3)})
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert got == sorted(x for x in texts if x[0] not in (300, 7))
+
+
+def test_pipeline_on_empty_tables(spark, corpus, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{corpus[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_plain_rules(spark, corpus):
+    """What the stages decide is held against plain rules: toxic ones by the model's own scores, lines, groups, copies and bins by brute force."""
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if not scores[r.doc_id]}
+    kept = corpus_pipeline.clean_of_toxicity(spark, docs, folder)
+    assert {r.doc_id: r.text for r in kept.collect()} == texts
+    left = {}
+    for i in sorted(texts):
+        own, gone = (texts[i] or "").split("\n"), set()
+        for e in sorted(texts):
+            if e < i and texts[e]:
+                gone.update(lines.common_blocks([hash(x.strip(" ")) for x in texts[e].split("\n")], [hash(x.strip(" ")) for x in own], [len(x.strip(" ")) for x in own], 40))
+        stay = "\n".join(x for k, x in enumerate(own) if k not in gone)
+        if not gone or stay.strip(" "):
+            left[i] = stay if gone else texts[i]
+    kept = corpus_pipeline.without_repeated_lines(spark, kept, folder)
+    assert {r.doc_id: r.text for r in kept.collect()} == left
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for i, t in left.items()}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                new, old = sorted((group[i], group[j]))
+                group = {x: new if g == old else g for x, g in group.items()}
+    kept = corpus_pipeline.one_of_each_group(spark, kept, folder)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in group.items() if i == g)
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept).collect()}
+    mixed = corpus_pipeline.mixed(spark, kept, folder)
+    assert Counter(r.doc_id for r in mixed.collect()) == {i: n for i, n in copies.items() if n}
+    bins = corpus_pipeline.packed(spark, mixed, folder).collect()
+    taken = Counter()
+    for r in bins:
+        taken[r.doc_id] += r.words
+    assert all(taken[i] == n * len((left[i] or "").split()) for i, n in copies.items())
+
+
 def test_pipeline_runs_in_one_go(spark, corpus):
     assert corpus_pipeline.run(spark, corpus[0]).count() > 0

@@ -150,6 +150,99 @@ def test_mix_reaches_its_targets(spark, hard):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def plain_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Shares by weight; what is above the cap is shared again among the rest, until none is."""
+    order = sorted((s for s in sizes if s is not None and sizes[s]), key=lambda s: [ord(c) for c in s]) + ([None] if sizes.get(None) else [])
+    weight, target = {s: weights[k % len(weights)] for k, s in enumerate(order)}, {}
+    while True:
+        open_ = [s for s in order if s not in target]
+        left = sum(sizes.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > cap * sizes[s]]
+        if not over:
+            return {**target, **share}
+        target |= {s: cap * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_equal_plain_shares(spark, seed):
+    rng = random.Random(seed)
+    sizes = {s: rng.choice([3, 40, 500, 9000, 10**5]) for s in ["a", "Z", "\U0001f600", "\uffee", "é", None][: rng.randint(1, 6)]}
+    stats = spark.createDataFrame([("~" if s is None else s.encode().hex().upper(), n) for s, n in sizes.items()], "key string, words long")
+    out = {r.key: (r.source_size, r.target) for r in mixing.source_targets(stats).collect()}
+    want = plain_targets(sizes)
+    assert {k: v[1] for k, v in out.items()} == pytest.approx({"~" if s is None else s.encode().hex().upper(): t for s, t in want.items()})
+
+
+def test_mix_equals_a_plain_mix(spark, hard, monkeypatch):
+    """Each source's target; then the same pairs, shard by shard and level by level, one word transfer at a time."""
+    import zlib
+    from math import floor, log2
+
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rng = random.Random(19)
+    rows = [*hard, *((1000 + i, prose(rng, rng.choice([1, 1, 2, 30])), "bd"[i % 2]) for i in range(900))]
+    sizes, units = defaultdict(int), defaultdict(int)
+    for i, t, s in rows:
+        sizes[s] += len(words_of(t))
+        units[-(2**63) if i is None else i, s, len(words_of(t))] += 1
+    target = plain_targets(sizes)
+    out = mixing.mix(frame(spark, rows))
+    shard = {(r.d, r.size): r.h for r in spark.createDataFrame([(k[0], k[2]) for k in units], "d long, size long").distinct().selectExpr("d", "size", "xxhash64(d, size) h").collect()}
+    groups, copies = defaultdict(list), {}
+    key = lambda s: "~" if s is None else s.encode().hex().upper()
+    classes = defaultdict(int)
+    for (_, s, n), c in units.items():
+        classes[s, floor(log2(n * c)) if n else -1] += 1
+    most = max(classes.values())
+    for (i, s, n), c in units.items():
+        if not n:
+            copies[i, s, n] = 1
+            continue
+        share, cl = target[s] / sizes[s], floor(log2(n * c))
+        groups[s, cl, shard[i, n] % -(-classes[s, cl] // mixing.SHARD)].append([i, n, c, floor(share), share - floor(share)])
+    level, shards = 0, -(-most // mixing.SHARD)
+    while True:
+        left = defaultdict(list)
+        for (s, cl, sh), own in groups.items():
+            draw = np.random.default_rng(zlib.crc32(f"{level}/{key(s)}/{cl}/{sh}".encode()))
+            own.sort(key=lambda u: u[:3])
+            own = [own[k] for k in draw.permutation(len(own))]
+            luck, open_ = draw.random(len(own)), None
+            for k, u in enumerate(own):
+                u[4] *= u[1] * u[2]  # words
+                if open_ is not None:
+                    w, v = open_[1] * open_[2], u[1] * u[2]
+                    up, down = min(w - open_[4], u[4]), min(open_[4], v - u[4])
+                    move = up if luck[k] * (up + down) < down else -down
+                    open_[4], u[4] = open_[4] + move, u[4] - move
+                if open_ is None or min(open_[4], open_[1] * open_[2] - open_[4]) <= 1e-9 * open_[1] * open_[2]:
+                    open_ = u
+            for u in own:
+                part = u[4] / (u[1] * u[2])
+                if min(part, 1 - part) <= 1e-9:
+                    copies[u[0], s, u[1]] = u[3] + round(part)
+                else:
+                    left[s, cl, sh // mixing.FAN_IN].append([*u[:4], part])
+        if shards <= 1:
+            break
+        groups, shards, level = left, -(-shards // mixing.FAN_IN), level + 1
+    last = defaultdict(list)
+    for (s, _, _), own in left.items():
+        last[s] += own
+    for s, own in last.items():
+        error = 0.0
+        for i, n, c, whole, part in sorted(own, key=lambda u: (-u[1] * u[2], u[0])):
+            got = min(max(round((part * n * c + error) / (n * c)), -whole), 3 - whole)
+            error += (part - got) * n * c
+            copies[i, s, n] = whole + got
+    seen = {(-(2**63) if r.doc_id is None else r.doc_id, r.source, r.size): (r.copies, r.target, r.source_size) for r in out.collect()}
+    assert {k: v[0] for k, v in seen.items()} == copies
+    assert all(v[2] == sizes[k[1]] and v[1] == pytest.approx(target.get(k[1], 0)) for k, v in seen.items())
+    assert level > 1
+
+
 def test_pairs_keep_all_words():
     import pandas as pd
 
@@ -561,11 +654,63 @@ def test_network_gradients():
         assert (up - down) / 2e-2 == pytest.approx(float(g[k][i]), abs=3e-4)
 
 
+def plain_logit(p, xs):
+    """One window, word by word: both passes, attention, logit."""
+    sig, n = lambda v: 1 / (1 + np.exp(-v)), len(xs)
+    states = [np.zeros(0)] * n
+    for d, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+        h = np.zeros(gru.HIDDEN)
+        for t in order:
+            gx, gh = xs[t] @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"h{d}"]
+            (zx, rx, nx), (zh, rh, nh) = np.split(gx, 3), np.split(gh, 3)
+            z, new = sig(zx + zh), np.tanh(nx + sig(rx + rh) * nh)
+            h = (1 - z) * new + z * h
+            states[t] = np.concatenate([states[t], h])
+    e = np.array([np.tanh(s @ p["a"]) @ p["u"] for s in states])
+    weight = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return sum(w * s for w, s in zip(weight, states, strict=True)) @ p["out"] + p["bias"][0]
+
+
+def test_scores_equal_a_plain_network(spark):
+    """Every window of whole texts by plain loops: the largest logit, calibrated; blank texts the base rate."""
+    rng, net = random.Random(17), gru.Network.new(np.random.default_rng(5))
+    net.params["cf"] += 0.3
+    net.params["bias"][:] = 0.2
+    model = toxicity.Model(0.25, net, (0.4, 1.3, -0.2))
+    rows = [(i, prose(rng, n), "a") for i, n in enumerate((1, 2, 15, 16, 17, 63, 64, 65, 97, 300))] + [(20, None, "a"), (21, " \n", "b"), (0, "an other text", "a")]
+    out = sorted(((r.doc_id, r.windows, r.score) for r in toxicity.score(frame(spark, rows), model).collect()), key=str)
+    p, want = {k: v.astype(np.float64) for k, v in net.params.items()}, []
+    for i, t, _ in rows:
+        words = words_of(t)
+        inputs = []
+        for x in words:
+            for _, data, at in text.slices(pa.array([x])):
+                w = gru.read_words(data, at)
+            inputs.append(np.concatenate([p["word"][w.word[0]], p["char"][w.grams].mean(axis=0)]))
+        starts = sorted({*range(0, max(len(words) - 64, 0), 32), max(len(words) - 64, 0)}) if words else []
+        top = max((plain_logit(p, inputs[s : s + 64]) for s in starts), default=None)
+        score = 0.25 if top is None else 1 / (1 + np.exp(-(0.4 + 1.3 * top - 0.2 * np.log1p(len(starts)))))
+        want.append((i, len(starts), score))
+    want.sort(key=str)
+    assert [x[:2] for x in out] == [x[:2] for x in want] and np.allclose([x[2] for x in out], [x[2] for x in want], atol=1e-4)
+    kept = [(r.doc_id, r.text) for r in toxicity.keep_clean(frame(spark, rows), model).collect()]
+    scored = {(i, t): s for (i, t, _), (_, _, s) in zip(rows, sorted(want, key=lambda x: [r[0] for r in rows].index(x[0])), strict=False)}
+    assert set(kept) <= set(scored) and all(r in kept for r in ((20, None), (21, " \n")))
+
+
 def test_windows_overlap_and_reach_the_end():
     _, start, size = gru.windows(np.array([0, 0, 10, 210]))
     assert list(zip(start, size, strict=True)) == [(0, 10), (10, 64), (42, 64), (74, 64), (106, 64), (138, 64), (146, 64)]
 
 
+def test_toxicity_of_empty_tables(spark):
+    docs, labels = frame(spark, [(1, "a b c", "a"), (2, None, "b")]), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    model = toxicity.train(docs.limit(0), labels.limit(0))
+    assert toxicity.keep_clean(docs.limit(0), model).columns == docs.columns
+    assert toxicity.keep_clean(docs, model).count() == 2 and toxicity.keep_clean(docs.limit(0), model).count() == 0
+
+
 @pytest.mark.parametrize("run", [minhash.near_duplicates, mixing.mix, mixing.mixed_documents, packing.pack, lines.dedup_lines, substrings.repeated_passages])
 def test_empty_documents(spark, run):
     assert run(frame(spark, [])).count() == 0
