@@ -32,11 +32,102 @@ def test_transforms_truncate_toward_zero(spark):
     assert (row.a, row.b, row.c) == (8, 12, -0.5)
 
 
+PLAIN_DOMAINS = {
+    "dense": lambda x, y, z: True,
+    "cylinder": lambda x, y, z: abs(y) <= 0.5 and abs(math.hypot(x, z) - 0.4) <= 0.015,
+    "wheel": lambda x, y, z: math.hypot(math.hypot(x, y) - 0.45, z) <= 0.03 or math.hypot(x, y) + 4.5 * abs(z) <= 0.45,
+    "box": lambda x, y, z: max(abs(x), abs(y), abs(z)) <= 0.3,
+    "sphere": lambda x, y, z: 0.4 <= math.hypot(x, y, z) <= 0.5,
+    "gripper": lambda x, y, z: math.hypot(x, y, z) <= 0.45 and not (y > 0 and abs(x) < 0.05),
+}
+
+
 @pytest.mark.parametrize("name", sorted(sdf.DOMAINS))
 def test_populate_keeps_what_the_predicate_holds(spark, name):
-    got = keys(region.populate(spark, (8, 8, 8), sdf.domain(name)))
-    points = spark.createDataFrame([((i + 0.5) / 8 - 0.5, (j + 0.5) / 8 - 0.5, (k + 0.5) / 8 - 0.5, i + 8, j + 8, k + 8) for i, j, k in product(range(8), repeat=3)], "x double, y double, z double, i int, j int, k int")
-    assert got == keys(points.where(sdf.domain(name)(F.col("x"), F.col("y"), F.col("z")) <= 1e-6))
+    got = keys(region.populate(spark, (20, 20, 20), sdf.domain(name)))
+    want = {(i + 8, j + 8, k + 8) for i, j, k in product(range(20), repeat=3) if PLAIN_DOMAINS[name](*((c + 0.5) / 20 - 0.5 for c in (i, j, k)))}
+    assert got == want and got
+
+
+def test_places_are_those_of_the_whole_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(x), int(y)) for x, y in rng.integers(0, 9, (500, 2))]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    got = sorted((r.place, r.a, r.b) for r in search.ranked(df, F.col("a").desc(), "b").collect())
+    assert got == [(n, a, b) for n, (a, b) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))]
+    assert search.ranked(df.limit(0), "a").count() == 0
+
+
+def plain_main(keys_, least=0.3):
+    """The one face-connected component over the share, by flooding."""
+    left, large = set(keys_), []
+    while left:
+        todo = [left.pop()]
+        own = set(todo)
+        while todo:
+            x = todo.pop()
+            for o in grid.FACES:
+                y = tuple(p + q for p, q in zip(x, o, strict=True))
+                if y in left:
+                    left.remove(y)
+                    own.add(y)
+                    todo.append(y)
+        if len(own) > least * len(set(keys_)):
+            large.append(own)
+    assert len(large) == 1
+    return large[0]
+
+
+def test_filtered_voxels_leave_the_container(spark):
+    rng = np.random.default_rng(8)
+    d = {k: float(x) for k, x in zip(product(range(12), repeat=3), rng.random(12**3), strict=True)}
+    d |= {(30, 30, z): 0.9 for z in range(5)}  # apart from all others
+    cells = spark.createDataFrame([(*k, x) for k, x in d.items()], "i int, j int, k int, density double")
+    block = lambda k: tuple(c // 4 for c in k)
+    thin_ = {block(k) for k, x in d.items() if x >= 0.3 + 1e-6}
+    main = plain_main([k for k, x in d.items() if x > 0.5 and block(k) in thin_])
+    left = {k for k in d if d[k] <= 0.5 or k in main}
+    got, thin_blocks, fat_blocks = components.filter_voxels(cells, 0.5, 0.3)
+    assert keys(got) == left and not any(k[0] == 30 for k in left)
+    want = {block(k) for k in left if d[k] >= 0.3 + 1e-6}
+    assert {(r.bi, r.bj, r.bk) for r in thin_blocks.collect()} == want
+    reached = {block(tuple(p + q for p, q in zip(k, o, strict=True))) for k in left if d[k] > 1e-6 and block(k) in want for o in grid.DIAGONALS}
+    assert {(r.bi, r.bj, r.bk) for r in fat_blocks.collect()} == reached & {block(k) for k in left}
+    killed, _, _ = components.threshold_and_kill(cells, 0.5)
+    assert keys(killed) == plain_main([k for k, x in d.items() if x >= 0.5])
+    filtered = {(r.i, r.j, r.k): r.density for r in components.filter_density(cells, 0.5).collect()}
+    assert filtered == {k: x if k in main else 0.0 for k, x in d.items()}
+
+
+def test_filtered_blocks(spark):
+    near, far = list(product(range(8), range(8), range(4))), [(40, 0, 0)]
+    cells = cells_of(spark, near + far)
+    got, kept = components.filter_blocks(cells, 0.5)
+    assert {(r.bi, r.bj, r.bk) for r in kept.collect()} == {(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0)}
+    assert {(r.i, r.density) for r in got.where("i = 40").collect()} == {(40, 0.0)} and got.where("density = 1").count() == len(near)
+
+
+def test_keys_that_do_not_fit_stop(spark):
+    with pytest.raises(Exception, match="21 bits"):
+        components.face_components(cells_of(spark, [(1 << 20, 0, 0)])).collect()
+    assert components.face_components(cells_of(spark, [((1 << 20) - 2, -(1 << 20), 0)])).count() == 1
+
+
+def test_wide_components_equal_flooding(spark):
+    from voxmill.plans import more
+
+    at = {tuple(r) for r in more.wide_field(spark, "/root/testdata/sf0.001").where("n >= 2").select("i", "j", "k").collect()}
+    sizes, left = [], set(at)
+    while left:
+        own, todo = set(), [left.pop()]
+        while todo:
+            x = todo.pop()
+            own.add(x)
+            near = [tuple(p + q for p, q in zip(x, o, strict=True)) for o in grid.FACES]
+            todo += [y for y in near if y in left]
+            left -= set(near)
+        sizes.append(len(own))
+    assert sorted(r.cells for r in more.w25_components(spark, "/root/testdata/sf0.001").collect()) == sorted(sizes)
 
 
 def test_domains_reject_what_they_do_not_know():

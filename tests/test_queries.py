@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from voxmill.plans import queries as plans
+from voxmill.plans import more as plans
 
 SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 ROOT = Path(__file__).resolve().parents[1]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.grid import BLOCK, BLOCK_KEY, CORNERS, DIAGONALS, HAS_FORCE, KEY, has, shifted, with_block
+from voxmill.operators.search import ranked
 
 Box = tuple[int, int, int]
 
@@ -22,9 +23,9 @@ def thin(cells: DataFrame, minimum: float = 0.0, threshold: float = 1e-6, size:
 
 
 def densest(cells: DataFrame, fraction: float, containers: int, size: Box = BLOCK) -> DataFrame:
-    """The share of blocks with the largest summed density; ties by key."""
-    order = [F.col("density_sum").desc(), *BLOCK_KEY]
-    return block_stats(cells, size).orderBy(*order).limit(int(fraction * containers))
+    """The share of blocks with the largest summed density; ties by key. Sums count to nine digits, as they depend on their order."""
+    stats = block_stats(cells, size).withColumn("density_sum", F.round("density_sum", 9))
+    return ranked(stats, F.col("density_sum").desc(), *BLOCK_KEY).where(F.col("place") < int(fraction * containers)).drop("place")
 
 
 def fat(cells: DataFrame, thin_blocks: DataFrame, container: DataFrame, margin: int = 1, threshold: float = 1e-6, size: Box = BLOCK) -> DataFrame:

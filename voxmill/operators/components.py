@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.grid import FACES, KEY, shifted
+from voxmill.functions.grid import BLOCK, BLOCK_KEY, FACES, KEY, shifted, with_block
+from voxmill.operators.band import fat, thin
 from voxmill.operators.graph import connected_components
 from voxmill.session import checkpoint
 
@@ -13,9 +14,10 @@ UP = [o for o in FACES if min(o) >= 0]
 
 
 def packed(i: Column, j: Column, k: Column) -> Column:
-    """A key as one long, in the keys' order; coordinates within 20 bits."""
+    """A key as one long, in the keys' order; stops at coordinates outside of 20 bits and a sign."""
     half = 1 << 20
-    return (((i.cast("long") + half) * (2 * half) + (j + half)) * (2 * half)) + (k + half)
+    far = F.greatest(*(F.abs(c.cast("long") + F.lit(0.5)) for c in (i, j, k))) > half
+    return F.when(far, F.raise_error(F.lit("a coordinate doesn't fit into 21 bits")).cast("long")).otherwise(((i.cast("long") + half) * (2 * half) + (j + half)) * (2 * half) + (k + half))
 
 
 def face_components(cells: DataFrame) -> DataFrame:
@@ -34,6 +36,45 @@ def sizes(components: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).select("component", "cells", (F.col("cells") / F.col("_all")).alias("fraction"))
 
 
+def main_blocks(blocks: DataFrame, least: float = 0.3) -> DataFrame:
+    """Of blocks (bi, bj, bk) those of the one component over the share ``least``."""
+    keys = blocks.select(*(F.col(b).alias(c) for b, c in zip(BLOCK_KEY, KEY, strict=True)))
+    return main_component(keys, least).select(*(F.col(c).alias(b) for b, c in zip(BLOCK_KEY, KEY, strict=True)))
+
+
+def filter_blocks(cells: DataFrame, minimum: float, size: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(cells, thin blocks) of the one main component of thin blocks; the densities of the other blocks are 0."""
+    kept = checkpoint(main_blocks(thin(cells, minimum, size=size)))
+    on = with_block(cells, size).join(kept.withColumn("_on", F.lit(True)), BLOCK_KEY, "left")
+    return on.withColumn("density", F.when(F.col("_on"), F.col("density")).otherwise(0.0)).drop("_on", *BLOCK_KEY), kept
+
+
+def filter_voxels(cells: DataFrame, threshold: float, minimum: float = 0.0, size: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, thin blocks, fat blocks) without what isn't in the one main component.
+
+    Cells over the threshold in thin blocks make the components. All others over it
+    leave the container for good; the blocks are made anew from what stays.
+    """
+    dense = with_block(cells, size).where(F.col("density") > threshold).join(thin(cells, minimum, size=size), BLOCK_KEY, "left_semi")
+    kept = checkpoint(main_component(dense))
+    gone = cells.where(F.col("density") > threshold).join(kept, KEY, "left_anti").select(*KEY)
+    left = checkpoint(cells.join(gone, KEY, "left_anti"))
+    thin_blocks = thin(left, minimum, size=size)
+    container = with_block(left, size).select(*BLOCK_KEY).distinct()
+    return left, thin_blocks, fat(left, thin_blocks, container, size=size)
+
+
+def filter_density(values: DataFrame, threshold: float) -> DataFrame:
+    """All values, 0 where they are under the threshold or outside the one main component."""
+    kept = checkpoint(main_component(values.where(F.col("density") > threshold))).withColumn("_on", F.lit(True))
+    return values.join(kept, KEY, "left").withColumn("density", F.when(F.col("_on"), F.col("density")).otherwise(0.0)).drop("_on")
+
+
+def threshold_and_kill(cells: DataFrame, threshold: float, minimum: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells under the threshold leave the container; then filter_voxels."""
+    return filter_voxels(cells.where(F.col("density") >= threshold), 0.0, minimum)
+
+
 def main_component(cells: DataFrame, least: float = 0.3) -> DataFrame:
     """The cells of the one component over the share ``least``; stops unless exactly one is."""
     found = checkpoint(face_components(cells))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.grid import CORNERS, FIXED_DENSITY, HAS_FORCE, KEY, equal_keys, norm, shifted, to_position
+from voxmill.functions.sdf import EDGE, Sdf
 from voxmill.operators.region import nodes_of
 
 Vector = tuple[float, float, float]
@@ -36,6 +39,27 @@ def box_force(cells: DataFrame, centre: tuple[int, int, int], f: Vector, size: i
     return one.join(nodes_of(cells), KEY, "left_semi").select(*KEY, *_force(tuple(x / size**3 for x in f)))
 
 
+def load(cells: DataFrame, centre: tuple[int, int, int], f: Vector, size: float, dx: float) -> DataFrame:
+    """box_force whose size is a length: as many nodes as cover it."""
+    return box_force(cells, centre, f, ceil(size / dx))
+
+
+def node_boundary(cells: DataFrame, records: DataFrame) -> DataFrame:
+    """The records (i, j, k, axis, value) of nodes that touch a cell."""
+    return records.join(nodes_of(cells), KEY, "left_semi")
+
+
+def volume_load(nodes: DataFrame, f: Vector, inside: Column) -> DataFrame:
+    """The whole force on every node inside a texture."""
+    return nodes.where(inside).select(*KEY, *_force(f))
+
+
+def make_shell(cells: DataFrame, dx: float, sdf: Sdf, grow: float = 1.03) -> DataFrame:
+    """Cells whose centre, moved outwards by ``grow``, lies outside the domain get a fixed density."""
+    out = sdf(*(to_position(F.col(c) + 0.5, dx) * grow for c in KEY)) > EDGE
+    return cells.withColumn("flags", F.col("flags").bitwiseOR(F.when(out, FIXED_DENSITY).otherwise(0).cast("long")))
+
+
 def plane_load(nodes: DataFrame, f: Vector, axis: int, at: int, where: Column | None = None) -> DataFrame:
     """The force shared equally by all nodes of a plane (within a predicate).
 

@@ -63,6 +63,14 @@ def updated(density: Column, gradient: Column, multiplier: Column, step: float =
     return clamp(clamp(raw, density - step, density + step), minimum, 1.0)
 
 
+def gradient_range(cells: DataFrame, smart_oc: bool = False) -> DataFrame:
+    """One row: fixed cells, all cells, and least and largest negative gradient; without smart_oc both are neutral."""
+    fixed = has(F.col("flags"), FIXED_DENSITY)
+    free = F.when(~fixed, -F.col("dc0"))
+    least, most = (F.min(free), F.max(free)) if smart_oc else (F.lit(1e30), F.lit(-1e30))
+    return cells.agg(F.count_if(fixed).alias("fixed"), F.count("*").alias("cells"), least.alias("neg_dc_min"), most.alias("neg_dc_max"))
+
+
 def oc_step(cells: DataFrame, target: float, s: Settings | None = None, shift: float = 0.0) -> tuple[DataFrame, float]:
     """The cells with their densities updated to the volume ``target``, and the multiplier.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.grid import AROUND, CORNERS, KEY, equal_keys, has, shifted, with_block
+from voxmill.functions.grid import ACTIVE_CELL, AROUND, CORNERS, DIRICHLET_CELL, KEY, equal_keys, has, shifted, with_block
 from voxmill.session import checkpoint
 
 
@@ -18,15 +18,14 @@ def flag_nodes(cells: DataFrame) -> DataFrame:
 def boundary_band(nodes: DataFrame, fixed: DataFrame, passes: int = 3) -> DataFrame:
     """Nodes within ``passes`` steps of a fixed node over nodes that aren't fixed.
 
-    Each pass starts from what the pass before had committed.
+    Each pass starts from what the pass before had reached. A pass reaches its own
+    nodes again, so the passes are one chain of scatters and joins.
     """
     fixed = equal_keys(fixed)
-    free = equal_keys(nodes).join(fixed, KEY, "left_anti")
-    band, front = None, fixed
+    free = checkpoint(equal_keys(nodes).join(fixed, KEY, "left_anti"))
+    band = fixed
     for _ in range(passes):
-        reached = equal_keys(shifted(front, AROUND)).join(free, KEY, "left_semi")
-        band = checkpoint(reached if band is None else reached.union(band).distinct())
-        front = band.union(fixed)
+        band = equal_keys(shifted(band, AROUND)).join(free, KEY, "left_semi")
     return band
 
 
@@ -35,6 +34,19 @@ def blocks_of(nodes: DataFrame, size: tuple[int, int, int] = (4, 4, 4)) -> DataF
     return with_block(nodes, size).select("bi", "bj", "bk").distinct()
 
 
+def active_cells(cells: DataFrame, value: str = "mu") -> DataFrame:
+    """Sets ACTIVE_CELL where the stiffness isn't 0."""
+    on = F.when(F.coalesce(F.col(value) != 0, F.lit(False)), ACTIVE_CELL).otherwise(0).cast("long")
+    return cells.withColumn("flags", F.col("flags").bitwiseOR(on))
+
+
+def dirichlet_cells(cells: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Sets the bits of the axes that ``fixed`` (i, j, k, axis) names for a cell."""
+    bit = F.element_at(F.array(*map(F.lit, DIRICHLET_CELL)), F.col("axis") + 1).cast("long")
+    bits = fixed.groupBy(*KEY).agg(F.bit_or(bit).alias("_on"))
+    return cells.join(bits, KEY, "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_on", F.lit(0).cast("long")))).drop("_on")
+
+
 def dirichlet_list(nodes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
     """(i, j, k, axis): one row for every fixed axis of a node."""
     axes = F.array(*(F.when(has(F.col("flags"), b), F.lit(a)) for a, b in enumerate(bits)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,19 @@ def nodes_of(cells: DataFrame) -> DataFrame:
     return equal_keys(shifted(cells.select(*KEY), CORNERS))
 
 
+def dense(cells: DataFrame, low: Box, high: Box, value: str = "density") -> DataFrame:
+    """(i, j, k, value) of every point of the half-open box, 0 where there is no cell."""
+    own = cells.select(*KEY, F.col(value).alias("value"))
+    return region(cells.sparkSession, low, high).join(own, KEY, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def from_field(stored: DataFrame, scaling: int = 1, value: str = "density") -> DataFrame:
+    """The domain that stored cells make, those of value 0 too: each as scaling^3 cells, with the cube root as density."""
+    at = [F.struct(*(F.lit(x).alias(n) for n, x in zip("xyz", o, strict=True))) for o in product(range(scaling), repeat=3)]
+    fine = stored.select(*KEY, F.cbrt(value).alias("density")).withColumn("_o", F.explode(F.array(*at)))
+    return fine.select(*((F.col(c) * scaling + F.col(f"_o.{x}")).cast("int").alias(c) for c, x in zip(KEY, "xyz", strict=True)), F.lit(INSIDE).cast("long").alias("flags"), "density")
+
+
 def upscale(cells: DataFrame, coarse: DataFrame, bounds0: Box, scale: int, value: str = "density") -> DataFrame:
     """Each cell with the value of the coarse cell it falls in (nearest, the last axis one cell late)."""
     shift = (0, 0, scale - 1)

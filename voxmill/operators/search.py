@@ -38,12 +38,31 @@ def bisect(df: DataFrame, total: Callable[[Column], Column], target: float, low:
     return low, high
 
 
+def ranked(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """The rows with their place, from 0, in the order of all of them.
+
+    Sorted by ranges; each range begins after the counted rows of those before it, so
+    no task and no driver sees more than its own range.
+    """
+    at, mask = F.col("_at"), F.lit((1 << 33) - 1)
+    placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = sorted(placed.groupBy(F.shiftright(at, 33).alias("p")).count().collect())  # a row for each range
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    own = placed.withColumn("_part", F.shiftright(at, 33)).join(F.broadcast(starts), "_part")
+    return own.withColumn(name, F.col("_before") + at.bitwiseAND(mask)).drop("_part", "_before", "_at")
+
+
 def threshold_for_volume(cells: DataFrame, target: float, value: str = "density", tolerance: float = 1e-8) -> float:
     """The least threshold (to the tolerance) that leaves at most ``target`` cells."""
     d = F.col(value)
     return bisect(cells, lambda t: F.count_if(d >= t), target, 0.0, 1.0, lambda a, b: b - a <= tolerance)[1]
 
 
-def cut(cells: DataFrame, threshold: float, value: str = "density") -> DataFrame:
-    """Values at or over the threshold become 1, others 0."""
-    return cells.withColumn(value, F.when(F.col(value) >= threshold, 1.0).otherwise(0.0))
+def cut(cells: DataFrame, threshold: float, value: str = "density", fixed: Column | None = None) -> DataFrame:
+    """Values at or over the threshold, and those of fixed cells, become 1, others 0."""
+    full = F.col(value) >= threshold if fixed is None else (F.col(value) >= threshold) | fixed
+    return cells.withColumn(value, F.when(full, 1.0).otherwise(0.0))

@@ -71,6 +71,18 @@ def quantized(cells: DataFrame, value: str = "density") -> DataFrame:
     return full.join(F.broadcast(low)).select(*((F.col(c) - F.col(f"{c}0")).cast("int").alias(c) for c in KEY), q.cast("short").alias("q"))
 
 
+def channel(cells: DataFrame, value: str) -> DataFrame:
+    """(i, j, k, value) over the largest; of magnitudes, if any value is negative. All 0 stays 0."""
+    most = cells.agg(F.min(value).alias("_least"), F.max(F.abs(value)).alias("_most"))  # a single row
+    v = F.when(F.col("_least") < 0, F.abs(value)).otherwise(F.col(value))
+    return cells.join(F.broadcast(most)).select(*KEY, F.when(F.col("_most") > 0, v / F.col("_most")).otherwise(0.0).alias("value"))
+
+
+def sliced_faces(cells: DataFrame, threshold: float, y: int, value: str = "density") -> DataFrame:
+    """boundary_faces of what lies at or over the slice y."""
+    return boundary_faces(cells.where(F.col("j") >= y), threshold, value)
+
+
 def mirrored(cells: DataFrame, axis: str, centre: int) -> DataFrame:
     """The cells and their reflection across a plane."""
     c = KEY["xyz".index(axis)]

@@ -64,7 +64,7 @@ POSITION = "i / 51.0 - 0.5 AS x, j / 11.0 - 0.5 AS y, k / 9.0 - 0.5 AS z"
 
 
 @query(f"WITH {V} SELECT i, j, k, n, round(density, 6) + 0.0 AS density FROM f")
-def q01_voxelize(spark, sf_dir):
+def q01_voxelize(spark, sf_dir, field=field):
     return r6(field(spark, sf_dir), "density")
 
 
@@ -130,7 +130,7 @@ def _band(passes: int) -> str:
 
 
 @query(_band(3))
-def q08_boundary_band(spark, sf_dir):
+def q08_boundary_band(spark, sf_dir, field=field):
     nodes = region.nodes_of(field(spark, sf_dir))
     return predicates.boundary_band(nodes, nodes.where("i = 1"), 3)
 
@@ -168,15 +168,13 @@ THIN = f"st AS (SELECT {BLOCKS}, min(density) AS density_min, max(density) AS de
 
 
 @query(f"WITH {V}, {THIN} SELECT bi, bj, bk, round(density_min, 6) AS density_min, round(density_max, 6) AS density_max, round(density_sum, 6) AS density_sum, false AS has_force FROM thin")
-def q13_thin_blocks(spark, sf_dir):
+def q13_thin_blocks(spark, sf_dir, field=field):
     return r6(band.thin(field(spark, sf_dir), 0.6), "density_min", "density_max", "density_sum")
 
 
 @query(f"WITH {V}, {THIN}, t AS (SELECT bi, bj, bk, row_number() OVER (ORDER BY round(density_sum, 9) DESC, bi, bj, bk) AS n FROM st) SELECT bi, bj, bk FROM t WHERE n <= 20")
-def q14_densest_blocks(spark, sf_dir):
-    v = field(spark, sf_dir)
-    stats = band.block_stats(v).withColumn("density_sum", F.round("density_sum", 9))
-    return stats.orderBy(F.col("density_sum").desc(), *BLOCK_KEY).limit(20).select(*BLOCK_KEY)
+def q14_densest_blocks(spark, sf_dir, field=field):
+    return band.densest(field(spark, sf_dir), 1.0, 20).select(*BLOCK_KEY)
 
 
 DIAG = offsets_sql("d", DIAGONALS)
@@ -184,22 +182,22 @@ FAT = f"{THIN}, {DIAG}, box AS (SELECT DISTINCT {BLOCKS} FROM f), g AS (SELECT f
 FAT = FAT.replace("FROM g SEMI JOIN thin USING (bi, bj, bk) CROSS JOIN d", "FROM (SELECT * FROM g WHERE (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM thin)) CROSS JOIN d")
 
 
-def _fat(spark, sf_dir):
+def _fat(spark, sf_dir, field=field):
     v = field(spark, sf_dir)
     box = with_block(v).select(*BLOCK_KEY).distinct()
     return v, band.fat(v, band.thin(v, 0.6), box, threshold=0.55), box
 
 
 @query(f"WITH {V}, {FAT} SELECT bi, bj, bk FROM fat")
-def q15_fat_blocks(spark, sf_dir):
-    return _fat(spark, sf_dir)[1]
+def q15_fat_blocks(spark, sf_dir, field=field):
+    return _fat(spark, sf_dir, field)[1]
 
 
 @query(f"""
 WITH {V}, {FAT}, {OFF8}, up AS (SELECT DISTINCT bi + x AS bi, bj + y AS bj, bk + z AS bk FROM fat CROSS JOIN o INTERSECT SELECT * FROM box)
 SELECT count(*) AS cells, count(*) FILTER (density > 0.5) AS active FROM (SELECT *, {BLOCKS} FROM f) WHERE (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM up)""")
-def q16_active_cells(spark, sf_dir):
-    v, fat, box = _fat(spark, sf_dir)
+def q16_active_cells(spark, sf_dir, field=field):
+    v, fat, box = _fat(spark, sf_dir, field)
     return band.active_counts(v, band.fatter(fat, box), 0.5)
 
 
@@ -210,7 +208,7 @@ WEIGHTS = offsets_sql("o", SMOOTH, [1.5 - sqrt(sum(x * x for x in o)) for o in S
 @query(f"""
 WITH {V}, {WEIGHTS}, t AS (SELECT i + x AS i, j + y AS j, k + z AS k, sum(w * -3 * density * density * density) AS v, sum(w) AS w FROM f CROSS JOIN o GROUP BY 1, 2, 3)
 SELECT f.i, f.j, f.k, round(v / (t.w * (density + 1e-3)), 6) AS dc0, round(-3 * density * density, 6) AS dc1 FROM f JOIN t ON f.i = t.i AND f.j = t.j AND f.k = t.k""")
-def q17_weighted_smoothing(spark, sf_dir):
+def q17_weighted_smoothing(spark, sf_dir, field=field):
     v = field(spark, sf_dir).withColumn("dc0", -3 * F.col("density") * F.col("density"))
     return r6(stencil.smooth(v), "dc0", "dc1")
 
@@ -223,7 +221,7 @@ def q18_laplacian(spark, sf_dir):
 
 
 @query(f"WITH {V} SELECT i // 3 AS i, j // 3 AS j, k // 3 AS k, round(sum(density) / 27, 6) AS density FROM f GROUP BY 1, 2, 3")
-def q19_box_mean(spark, sf_dir):
+def q19_box_mean(spark, sf_dir, field=field):
     return r6(stencil.box_mean(field(spark, sf_dir), 3), "density")
 
 
@@ -257,7 +255,7 @@ def q23_quantize(spark, sf_dir):
 
 
 @query(f"WITH {V}, {offsets_sql('o', FACES)}, c AS (SELECT i, j, k FROM f WHERE density >= 0.5), e AS (SELECT i, j, k, x AS dx, y AS dy, z AS dz FROM c CROSS JOIN o) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.i = e.i + dx AND c.j = e.j + dy AND c.k = e.k + dz)")
-def q24_boundary_faces(spark, sf_dir):
+def q24_boundary_faces(spark, sf_dir, field=field):
     return stencil.boundary_faces(field(spark, sf_dir), 0.5)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions.grid import FIXED_DENSITY, KEY, to_index, to_position
+from voxmill.operators.search import ranked
 
 CORNER = ["ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"]
 
@@ -126,8 +127,7 @@ def ply_lines(faces: DataFrame, dx: float = 1.0) -> DataFrame:
 
     Each face has its own four corners, so a face's number gives its vertices' numbers.
     """
-    order = "row_number() over (order by i, j, k, dx, dy, dz) - 1"
-    f = faces.withColumn("f", F.expr(order))
+    f = ranked(faces, "i", "j", "k", "dx", "dy", "dz", name="f")
     total = faces.agg(F.count("*").alias("c"))
     header = ["ply", "format ascii 1.0", "element vertex {v}", "property float x", "property float y", "property float z", "element face {f}", "property list uchar int vertex_index", "end_header"]
     text = F.array(*(F.replace(F.replace(F.lit(h), F.lit("{v}"), (F.col("c") * 4).cast("string")), F.lit("{f}"), (F.col("c") * 2).cast("string")) for h in header))
@@ -145,5 +145,5 @@ def ply_lines(faces: DataFrame, dx: float = 1.0) -> DataFrame:
 
 
 def write_ply(faces: DataFrame, path: str, dx: float = 1.0) -> None:
-    """One text file of all faces; its rows are sorted by Spark, not on the driver."""
-    ply_lines(faces, dx).orderBy("part", "n").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """A folder of text files that make the surface one after the other, by name; no task writes all of it."""
+    ply_lines(faces, dx).orderBy("part", "n").select("line").write.mode("overwrite").text(path)
