@@ -427,3 +427,76 @@ def test_problem_files(spark, tmp_path):
     assert (block.i, block.j, block.k) == (4, 8, 12) and block.data == data
     with pytest.raises(ValueError):
         problems.parse(b"\x00" * 8 + body)
+
+
+def test_problem_files_round_trip(spark, tmp_path):
+    from voxmill.sources import problems
+
+    cells = [("x/a.bin", n, 2 * n, -n, n / 8) for n in range(1, 40)] + [("x/b.bin", 0, 0, 0, 1.0)]
+    forces = [("x/a.bin", n, 2 * n + 1, n * n + 14, n // 3 + 1, n**0.5, float(n * n), n**3 / 1e4) for n in range(17)]
+    fixed, fixed_cells = [("x/a.bin", 94, 11, 16, 1, 0.5432), ("x/a.bin", 95, 6, 3, 2, 0.1234)], [("x/b.bin", 1, 2, 3, 0, 0.0)]
+    settings = {"extra string log": "/tmp/x", "extra int sweeps": 3, "extra double damping": 0.5, "dx": 0.01, "global_mu": 2.0, "global_lambda": 1.0, "resolution_x": 128, "krylov_tolerance": 1e-5, "krylov_print": True, "caller_method": "optimisation"}
+    tables = [spark.createDataFrame(rows, problems.KINDS[k]) for k, rows in (("density", cells), ("forces", forces), ("dirichlet", fixed), ("dirichlet_cells", fixed_cells))]
+    (tmp_path / "out").mkdir()
+    for _ in range(2):  # writing again replaces
+        problems.write(problems.encoded(*tables, settings), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.bin", "b.bin"]
+    named = lambda df: sorted((r[0].split("/")[-1], *r[1:]) for r in df.collect())
+    for kind, rows in (("density", cells), ("forces", forces), ("dirichlet", fixed), ("dirichlet_cells", fixed_cells), ("mu", [])):
+        assert named(problems.read(spark, str(tmp_path / "out"), kind)) == sorted((r[0][2:], *r[1:]) for r in rows), kind
+    header = {r[1]: r[2] for r in problems.read(spark, str(tmp_path / "out" / "a.bin"), "header").collect()}
+    assert {k: header[k] for k in settings} == {k: str(v) for k, v in settings.items()}
+    assert problems.last_file(spark, str(tmp_path / "out")).endswith("/b.bin")
+    assert problems.last_file(spark, str(tmp_path / "out"), "a*").endswith("/a.bin")
+
+
+def test_result_and_grid_files(spark, tmp_path):
+    import struct
+
+    from voxmill.sources import problems
+
+    def framed(path, body):
+        path.write_bytes(struct.pack("<Q", len(body) + 8) + body)
+
+    shape = struct.pack("<iii", 8, 8, 8)
+    move, left = np.zeros((64, 4)), np.zeros(64)
+    move[5], left[6] = (1.0, 0.0, -2.0, 9.0), 0.25
+    body = struct.pack("<iiQQQ", 3, 1, 0, 0, 0) + shape + struct.pack("<Qiii", 1, 4, 0, 0) + move.tobytes() + shape + struct.pack("<Qiii", 1, 0, 4, 0) + left.tobytes()
+    body += struct.pack("<Q2s", 2, b"ok") + struct.pack("<Qdd", 2, 1.0, 0.5) + struct.pack("<i?", 0, True)
+    (tmp_path / "r").mkdir()
+    framed(tmp_path / "r" / "a.bin", body)
+    table = lambda kind: [tuple(r)[1:] for r in problems.read_results(spark, str(tmp_path / "r"), kind).collect()]
+    assert table("displacements") == [(4, 1, 1, 1.0, 0.0, -2.0)]
+    assert table("residual_field") == [(0, 5, 2, 0.25)]
+    assert table("residuals") == [(0, 1.0), (1, 0.5)]
+    assert dict(table("header")) == {"info": "ok", "error_code": "0", "success": "True"}
+    for form, kind, value in (("float", np.float32, 0.5), ("uint8", np.uint8, 200)):
+        data = np.zeros(64, kind)
+        data[63] = value
+        (tmp_path / form).mkdir()
+        framed(tmp_path / form / "g.bin", shape + struct.pack("<Qiii", 1, 0, 0, 4) + data.tobytes())
+        assert [tuple(r)[1:] for r in problems.read_grid(spark, str(tmp_path / form), form).collect()] == [(3, 3, 7, float(value))]
+
+
+def test_wing_of_a_profile(spark, tmp_path):
+    (tmp_path / "vertices.txt").write_text("4\n1 0 -1 0\n0 0.5\n0 -0.5\n")
+    profile = mesh.wing_profile(spark, str(tmp_path / "vertices.txt"))
+    points = [(1.0, 0.0), (0.0, 0.5), (-1.0, 0.0), (0.0, -0.5)]
+    assert sorted(tuple(r) for r in profile.collect()) == [(n, *p) for n, p in enumerate(points)]
+    quads = {(r.surface, r.n, r.step): np.array(r[3:]).reshape(4, 3) for r in mesh.loft(profile, steps=2).collect()}
+    assert len(quads) == 3 * 4 * 2
+    (x, y), (x1, y1) = points[3], points[0]
+    assert np.allclose(quads["side", 3, 1], [(x * s, y * s, z) if first else (x1 * s, y1 * s, z) for first, s, z in ((1, 0.37, 0), (0, 0.37, 0), (0, 0.4, 0.4), (1, 0.4, 0.4))])
+    assert np.allclose(quads["near", 3, 1], [(a * t * 0.34, b * t * 0.34, -0.4) for (a, b), t in (((x, y), 0.5), ((x1, y1), 0.5), ((x1, y1), 1), ((x, y), 1))])
+    lines = [r.line for r in mesh.quad_lines(mesh.loft(profile, steps=2)).orderBy("part", "n").collect()]
+    assert lines[2] == "element vertex 96" and lines[6] == "element face 48" and len(lines) == 9 + 96 + 48
+
+
+def test_spar_and_target_deformation(spark):
+    cells = spark.createDataFrame([(i, j, 0, 1.0) for i in range(20, 45) for j in range(20, 45)], "i int, j int, k int, density double")
+    dx, at = 0.02, lambda n: (n - 8) * 0.02 - 0.5
+    found = {(r.i, r.j, r.k) for r in conditions.spar_dirichlet(cells, dx, lambda x, y, z: x + 0.15).select("i", "j", "k").collect()}
+    expected = {(i + a, j + b, c) for i, j, *_ in cells.collect() if at(i) + 0.15 < 0 and math.hypot(at(i) + 0.1765, at(j) + 0.004) < 0.0691 for a, b, c in product((0, 1), repeat=3)}
+    assert found == expected and found
+    moved = conditions.target_deformation(cells, (20, 21, 0), (22, 23, 1), (1.0, 0.0, 2.0)).collect()
+    assert sorted(tuple(r) for r in moved) == [(i, j, 0, 1.0, 0.0, 2.0, 1.0) for i in (20, 21) for j in (21, 22)]

@@ -113,6 +113,13 @@ def box_dirichlet(cells: DataFrame, low: Vector, high: Vector, dx: float, axes:
     return cell_dirichlet(cells.where(inside), axes, value)
 
 
+def spar_dirichlet(cells: DataFrame, dx: float, sdf: Sdf, centre: tuple[float, float] = (-0.1765, -0.004), radius: float = 0.0691) -> DataFrame:
+    """Fixes the cells whose lower corner lies in the domain and in a spar: a cylinder along z."""
+    at = [to_position(F.col(c), dx) for c in KEY]
+    in_spar = norm(*(x - c for x, c in zip(at[:2], centre, strict=True))) < radius
+    return cell_dirichlet(cells.where((sdf(*at) < 0) & in_spar))
+
+
 def box_load(nodes: DataFrame, low: Vector, high: Vector, f: Vector, dx: float) -> DataFrame:
     """The whole force on every node of a box."""
     inside = F.lit(True)
@@ -121,6 +128,14 @@ def box_load(nodes: DataFrame, low: Vector, high: Vector, f: Vector, dx: float)
     return nodes.where(inside).select(*KEY, *_force(f))
 
 
+def target_deformation(nodes: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int], displacement: Vector, weight: float = 1.0) -> DataFrame:
+    """(i, j, k, u0, u1, u2, weight): where the nodes of a box, without its upper ends, are meant to move."""
+    inside = F.lit(True)
+    for c, a, b in zip(KEY, low, high, strict=True):
+        inside &= (F.col(c) >= a) & (F.col(c) < b)
+    return nodes.where(inside).select(*KEY, *(F.lit(float(x)).alias(f"u{n}") for n, x in enumerate(displacement)), F.lit(float(weight)).alias("weight"))
+
+
 def wheel_load(nodes: DataFrame, dx: float, shear: bool = False) -> DataFrame:
     """Tangential (or axial) unit-like forces on the rim."""
     x, y, z = (to_position(F.col(c), dx) for c in KEY)

@@ -172,6 +172,11 @@ def q63_volume_load(spark, sf_dir):
     return conditions.volume_load(moved(region.nodes_of(field(spark, sf_dir))), (0.0, -3.0, 0.0), where)
 
 
+@query(f"WITH {V}, {OFF8}, {NODES} SELECT i, j, k, CAST(0.5 AS DOUBLE) AS u0, {NO_FORCE} AS u1, CAST(-1 AS DOUBLE) AS u2, CAST(3 AS DOUBLE) AS weight FROM nodes WHERE i >= 4 AND i < 30 AND j >= 2 AND j < 9 AND k >= 1 AND k < 7")
+def q64_target_deformation(spark, sf_dir):
+    return conditions.target_deformation(region.nodes_of(field(spark, sf_dir)), (4, 2, 1), (30, 9, 7), (0.5, 0.0, -1.0), 3.0)
+
+
 # The field that grows: line items by part, quarter and quantity; its first axis follows the number of parts.
 W = """
 v AS (

@@ -122,26 +122,74 @@ def inside(tri: DataFrame, cells: DataFrame, dx: float) -> DataFrame:
     return cells.join(crossings, ["i", "j"]).where(F.size(F.filter("zs", lambda v: v > at)) % 2 == 1).drop("zs")
 
 
+def _surface_lines(quads: DataFrame, spots: list[Column]) -> DataFrame:
+    """(part, n, line) of quads numbered by f, whose corners' coordinates are ``spots`` as text; two triangles a quad."""
+    total = quads.agg(F.count("*").alias("c"))
+    header = ["ply", "format ascii 1.0", "element vertex {v}", "property float x", "property float y", "property float z", "element face {f}", "property list uchar int vertex_index", "end_header"]
+    text = F.array(*(F.replace(F.replace(F.lit(h), F.lit("{v}"), (F.col("c") * 4).cast("string")), F.lit("{f}"), (F.col("c") * 2).cast("string")) for h in header))
+    head = total.select(F.lit(0).alias("part"), F.posexplode(text).alias("n", "line"))
+    vertices = quads.select(F.lit(1).alias("part"), "f", F.posexplode(F.array(*spots)).alias("m", "line")).select("part", (F.col("f") * 4 + F.col("m")).alias("n"), "line")
+    tri = [F.concat(F.lit("3 "), F.concat_ws(" ", *((F.col("f") * 4 + o).cast("string") for o in t))) for t in ((0, 1, 2), (0, 2, 3))]
+    sides = quads.select(F.lit(2).alias("part"), "f", F.posexplode(F.array(*tri)).alias("m", "line")).select("part", (F.col("f") * 2 + F.col("m")).alias("n"), "line")
+    return head.unionByName(vertices).unionByName(sides)
+
+
 def ply_lines(faces: DataFrame, dx: float = 1.0) -> DataFrame:
     """(part, n, line): the text of a PLY surface of boundary faces (i, j, k, dx, dy, dz), two triangles a face.
 
     Each face has its own four corners, so a face's number gives its vertices' numbers.
     """
     f = ranked(faces, "i", "j", "k", "dx", "dy", "dz", name="f")
-    total = faces.agg(F.count("*").alias("c"))
-    header = ["ply", "format ascii 1.0", "element vertex {v}", "property float x", "property float y", "property float z", "element face {f}", "property list uchar int vertex_index", "end_header"]
-    text = F.array(*(F.replace(F.replace(F.lit(h), F.lit("{v}"), (F.col("c") * 4).cast("string")), F.lit("{f}"), (F.col("c") * 2).cast("string")) for h in header))
-    head = total.select(F.lit(0).alias("part"), F.posexplode(text).alias("n", "line"))
     axis = F.when(F.col("dx") != 0, 0).when(F.col("dy") != 0, 1).otherwise(2)
     side = F.when(F.col("dx") + F.col("dy") + F.col("dz") > 0, 1).otherwise(0)
     spots = []
     for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)):
         at = [F.when(axis == c, side).when(axis == (c + 2) % 3, a).otherwise(b) for c in range(3)]
         spots.append(F.concat_ws(" ", *(((F.col(k) + x) * dx).cast("string") for k, x in zip(KEY, at, strict=True))))
-    vertices = f.select(F.lit(1).alias("part"), "f", F.posexplode(F.array(*spots)).alias("m", "line")).select("part", (F.col("f") * 4 + F.col("m")).alias("n"), "line")
-    tri = [F.concat(F.lit("3 "), F.concat_ws(" ", *((F.col("f") * 4 + o).cast("string") for o in t))) for t in ((0, 1, 2), (0, 2, 3))]
-    sides = f.select(F.lit(2).alias("part"), "f", F.posexplode(F.array(*tri)).alias("m", "line")).select("part", (F.col("f") * 2 + F.col("m")).alias("n"), "line")
-    return head.unionByName(vertices).unionByName(sides)
+    return _surface_lines(f, spots)
+
+
+def quad_lines(quads: DataFrame) -> DataFrame:
+    """(part, n, line): the text of a PLY surface of quads as loft gives them."""
+    f = ranked(quads, "surface", "n", "step", name="f")
+    return _surface_lines(f, [F.concat_ws(" ", *(F.col(f"{p}{c}").cast("string") for c in "xyz")) for p in "abcd"])
+
+
+def wing_profile(spark: SparkSession, path: str) -> DataFrame:
+    """(n, x, y): the points of a profile's outline, from text that holds their number, all x and all y."""
+    words = spark.read.text(path, wholetext=True).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    many = F.element_at("w", 1).cast("int")
+    points = words.select(F.posexplode(F.slice("w", F.lit(2), many)).alias("n", "x"), "w")
+    return points.select("n", F.col("x").cast("double").alias("x"), F.element_at("w", F.col("n") + many + 2).cast("double").alias("y"))
+
+
+def loft(profile: DataFrame, near: tuple[float, float] = (0.34, -0.4), far: tuple[float, float] = (0.4, 0.4), steps: int = 20) -> DataFrame:
+    """(surface, n, step, ax..dz): quads of a wing whose outline is scaled along z, from (scale, z) near to far, with a cap on either end.
+
+    Each edge of the closed outline gives a strip of quads along the wing, and from
+    the outline's mean point a strip on either cap.
+    """
+    mean = profile.agg(F.count("*").alias("many"), F.avg("x").alias("mx"), F.avg("y").alias("my"))  # a single row
+    points = profile.join(F.broadcast(mean))
+    follower = points.select(F.expr("pmod(n - 1, many)").cast("int").alias("n"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    edges = points.join(follower, "n").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    u, v = F.col("step") / steps, (F.col("step") + 1) / steps
+
+    def between(t: Column, a: Column | float, b: Column | float) -> Column:
+        a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+        return a * (1 - t) + b * t
+
+    def quads(name: str, corners: list[tuple[Column, Column, Column, Column]]) -> DataFrame:
+        named = [(value).alias(f"{p}{c}") for p, (x, y, scale, z) in zip("abcd", corners, strict=True) for c, value in zip("xyz", (x * scale, y * scale, z), strict=True)]
+        return edges.select(F.lit(name).alias("surface"), "n", "step", *named)
+
+    here, there = (F.col("x"), F.col("y")), (F.col("x1"), F.col("y1"))
+    along = [(between(t, near[0], far[0]), between(t, near[1], far[1])) for t in (u, v)]
+    parts = [quads("side", [(*here, *along[0]), (*there, *along[0]), (*there, *along[1]), (*here, *along[1])])]
+    for name, end in (("near", near), ("far", far)):
+        inner, outer = ([(between(t, F.col("mx"), p[0]), between(t, F.col("my"), p[1])) for p in (here, there)] for t in (u, v))
+        parts.append(quads(name, [(*p, F.lit(end[0]), F.lit(end[1])) for p in (inner[0], inner[1], outer[1], outer[0])]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def write_ply(faces: DataFrame, path: str, dx: float = 1.0) -> None:

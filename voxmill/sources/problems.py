@@ -1,4 +1,4 @@
-"""Framed binary problem files: a reader into tables, and cells in the blocks of such files.
+"""Framed binary files of problems, results and grids: readers into tables, and a writer of problems.
 
 All values are little-endian and unpadded. A file is its total length (u64),
 then the fields of HEADER in order; a string is a u64 count and its bytes, a
@@ -8,6 +8,7 @@ three i32 and 64 doubles.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -21,7 +22,13 @@ SHAPE = (4, 4, 4)
 CELLS = "path string, i int, j int, k int, density double"
 FORCES = "path string, seq long, i int, j int, k int, fx double, fy double, fz double"
 DIRICHLET = "path string, i int, j int, k int, axis int, value double"
-KINDS = {"density": CELLS, "forces": FORCES, "dirichlet": DIRICHLET}
+HEADER = "path string, name string, value string"
+RESIDUALS = "path string, step long, residual double"
+DISPLACEMENTS = "path string, i int, j int, k int, u0 double, u1 double, u2 double"
+KINDS = {"density": CELLS, "mu": CELLS.replace("density", "mu"), "lambda": CELLS.replace("density", "lambda"), "forces": FORCES, "dirichlet": DIRICHLET, "dirichlet_cells": DIRICHLET, "header": HEADER}
+RESULTS = {"displacements": DISPLACEMENTS, "residual_field": CELLS.replace("density", "residual"), "residuals": RESIDUALS, "header": HEADER}
+GRIDS = {"double": "<f8", "float": "<f4", "uint8": "u1"}
+FORCE, CONDITION = [("at", "<i4", 3), ("f", "<f8", 3)], [("at", "<i4", 3), ("axis", "<i4"), ("value", "<f8")]
 
 
 class Cursor:
@@ -46,39 +53,83 @@ class Cursor:
         return out
 
 
-def parse(data: bytes) -> dict[str, np.ndarray]:
-    """Density blocks, forces and conditions of one file; stops at a wrong length or version."""
+    def grid(self, form: str = "<f8", values: int = 64) -> np.ndarray:
+        self.take("iii")
+        return self.records([("base", "<i4", 3), ("data", form, values)])
+
+    def named(self, header: dict[str, object], names: str, form: str) -> None:
+        header.update(zip(names.split(), self.take(form), strict=True))
+
+
+def _opened(data: bytes) -> Cursor:
     c = Cursor(data)
     if c.take("Q")[0] != len(data):
         raise ValueError("the file's length isn't the one that it names")
+    return c
+
+
+def _begun(data: bytes) -> tuple[Cursor, dict[str, object]]:
+    """What problems and results begin with: version and extra values."""
+    c, header = _opened(data), {}
     if c.take("ii") != VERSION:
         raise ValueError("unknown version")
-    for form in (None, "i", "d"):  # extra strings, ints and doubles
+    for kind, form in (("string", None), ("int", "i"), ("double", "d")):
         for _ in range(c.take("Q")[0]):
-            c.text()
-            c.take(form) if form else c.text()
-    density_only = c.take("dQ?")[2]
-    if density_only:
-        c.take("dd")
-    block, out = [("base", "<i4", 3), ("data", "<f8", 64)], {}
-    c.take("iii")
-    out["density"] = c.records(block)
-    if not density_only:
-        c.take("iii")
-        c.records(block)
-    c.take("iiiid")
-    c.take("iii")
-    out["forces"] = c.records([("at", "<i4", 3), ("f", "<f8", 3)])
-    out["dirichlet"] = c.records([("at", "<i4", 3), ("axis", "<i4"), ("value", "<f8")])
-    return out
-
-
-def rows_of(kind: str, path: str, found: np.ndarray) -> pd.DataFrame:
-    if kind == "density":
-        local = np.stack(np.unravel_index(np.arange(64), SHAPE), 1)
-        at = (found["base"][:, None, :] + local).reshape(-1, 3)
-        out = pd.DataFrame(at, columns=["i", "j", "k"]).assign(density=found["data"].reshape(-1))
-        out = out[out["density"] != 0]
+            name = c.text()
+            header[f"extra {kind} {name}"] = c.take(form)[0] if form else c.text()
+    return c, header
+
+
+def parse(data: bytes, settings: bool = True) -> dict[str, object]:
+    """Grids, forces, conditions and header of one problem; stops at a wrong length or version.
+
+    A file of densities has a grid density, another one two grids mu and lambda.
+    Without ``settings`` it ends at the conditions, and the header lacks what stands after them.
+    """
+    c, header = _begun(data)
+    c.named(header, "dx preserved_buffer_size use_density_only", "dQ?")
+    none, out = np.zeros(0, [("base", "<i4", 3), ("data", "<f8", 64)]), {}
+    if header["use_density_only"]:
+        c.named(header, "global_mu global_lambda", "dd")
+        out |= {"density": c.grid(), "mu": none, "lambda": none}
+    else:
+        out |= {"density": none, "mu": c.grid(), "lambda": c.grid()}
+    c.named(header, "mg_level explicit_mg_level pre_and_post_smoothing_iter bottom_smoothing_iter jacobi_damping", "iiiid")
+    c.named(header, "resolution_x resolution_y resolution_z", "iii")
+    out |= {"forces": c.records(FORCE), "dirichlet": c.records(CONDITION), "dirichlet_cells": c.records(CONDITION)}
+    if settings:
+        c.named(header, "krylov_tolerance krylov_max_iterations krylov_restart krylov_print", "dii?")
+        header["caller_method"] = c.text()
+    return out | {"header": header}
+
+
+def parse_results(data: bytes) -> dict[str, object]:
+    """Displacements, residuals and header of one result; stops at a wrong length or version."""
+    c, header = _begun(data)
+    out = {"displacements": c.grid("<f8", 4 * 64), "residual_field": c.grid()}
+    header["info"] = c.text()
+    out["residuals"] = c.records([("residual", "<f8")])["residual"]
+    c.named(header, "error_code success", "i?")
+    return out | {"header": header}
+
+
+def cells_of(found: np.ndarray, names: list[str], width: int = 1) -> pd.DataFrame:
+    """The cells of blocks where a value isn't 0; each has ``width`` values, of which the first get the names."""
+    at = (found["base"][:, None, :] + np.stack(np.unravel_index(np.arange(64), SHAPE), 1)).reshape(-1, 3)
+    value = found["data"].reshape(-1, width)[:, : len(names)].astype(np.float64)
+    some = (value != 0).any(1)
+    return pd.concat([pd.DataFrame(at[some], columns=["i", "j", "k"]), pd.DataFrame(value[some], columns=names)], axis=1)
+
+
+def rows_of(kind: str, path: str, found: object) -> pd.DataFrame:
+    if kind == "header":
+        out = pd.DataFrame({"name": list(found), "value": [str(v) for v in found.values()]}, dtype=object)
+    elif kind == "residuals":
+        out = pd.DataFrame({"step": np.arange(len(found)), "residual": found})
+    elif kind == "displacements":
+        out = cells_of(found, ["u0", "u1", "u2"], 4)
+    elif kind in ("density", "mu", "lambda", "residual_field"):
+        out = cells_of(found, ["residual" if kind == "residual_field" else kind])
     else:
         out = pd.DataFrame(found["at"], columns=["i", "j", "k"])
         if kind == "forces":
@@ -90,20 +141,102 @@ def rows_of(kind: str, path: str, found: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def read(spark: SparkSession, path: str, kind: str = "density") -> DataFrame:
-    """The cells, forces or dirichlet records of all files of a path; a file is read in one task."""
+def _each_file(spark: SparkSession, path: str, rows: object, schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield rows_of(kind, p, parse(content)[kind])
+                yield rows(p, content)
+
+    return files.mapInPandas(run, schema)
+
+
+def read(spark: SparkSession, path: str, kind: str = "density") -> DataFrame:
+    """A table of KINDS of all problem files of a path; a file is read in one task."""
+    return _each_file(spark, path, lambda p, content: rows_of(kind, p, parse(content, kind == "header")[kind]), KINDS[kind])
+
+
+def read_results(spark: SparkSession, path: str, kind: str = "displacements") -> DataFrame:
+    """A table of RESULTS of all result files of a path; a file is read in one task."""
+    return _each_file(spark, path, lambda p, content: rows_of(kind, p, parse_results(content)[kind]), RESULTS[kind])
+
+
+def read_grid(spark: SparkSession, path: str, form: str = "float") -> DataFrame:
+    """(path, i, j, k, value) of all files of a path that hold one grid of doubles, floats or bytes; values of 0 are left out."""
+
+    def rows(p: str, content: bytes) -> pd.DataFrame:
+        out = cells_of(_opened(content).grid(GRIDS[form]), ["value"])
+        out.insert(0, "path", p)
+        return out
+
+    return _each_file(spark, path, rows, CELLS.replace("density", "value"))
+
+
+def last_file(spark: SparkSession, path: str, glob: str = "*") -> str | None:
+    """The file of a folder whose name comes last, None if there is none; the contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).agg(F.max("path")).first()[0]
+
+
+def encode(bases: np.ndarray, data: np.ndarray, forces: np.ndarray, dirichlet: np.ndarray, dirichlet_cells: np.ndarray, settings: dict[str, object]) -> bytes:
+    """The bytes of a problem of densities. ``settings`` are what parse gives as header; what is missing is 0 or empty."""
+    text = lambda x: struct.pack("<Q", len(x.encode())) + x.encode()
+    value = lambda names: [settings.get(n, 0) for n in names.split()]
+    many = lambda x: struct.pack("<Q", len(x)) + x.tobytes()
+    out = [struct.pack("<ii", *VERSION)]
+    for kind, form in (("string", None), ("int", "<i"), ("double", "<d")):
+        extra = sorted((k.removeprefix(f"extra {kind} "), v) for k, v in settings.items() if k.startswith(f"extra {kind} "))
+        out += [struct.pack("<Q", len(extra)), *(text(k) + (struct.pack(form, v) if form else text(v)) for k, v in extra)]
+    grid = np.zeros(len(bases), [("base", "<i4", 3), ("data", "<f8", 64)])
+    grid["base"], grid["data"] = bases, data
+    shape = struct.pack("<iii", *value("resolution_x resolution_y resolution_z"))
+    out += [struct.pack("<dQ?dd", *value("dx preserved_buffer_size"), True, *value("global_mu global_lambda")), shape, many(grid)]
+    out += [struct.pack("<iiiid", *value("mg_level explicit_mg_level pre_and_post_smoothing_iter bottom_smoothing_iter jacobi_damping")), shape]
+    out += [many(forces), many(dirichlet), many(dirichlet_cells), struct.pack("<dii?", *value("krylov_tolerance krylov_max_iterations krylov_restart krylov_print")), text(settings.get("caller_method", ""))]
+    body = b"".join(out)
+    return struct.pack("<Q", len(body) + 8) + body
+
+
+def encoded(cells: DataFrame, forces: DataFrame, dirichlet: DataFrame, dirichlet_cells: DataFrame, settings: dict[str, object]) -> DataFrame:
+    """(path, content): one problem file for each path of the tables of KINDS, ordered by coordinates and by seq.
+
+    A file is made in one task, as the format is one length and its bytes.
+    """
+    per = blocks(cells, "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "j", "k", "data"))).alias("grid"))
+    for name, df, row in (("forces", forces, ["seq", "i", "j", "k", "fx", "fy", "fz"]), ("dirichlet", dirichlet, ["i", "j", "k", "axis", "value"]), ("dirichlet_cells", dirichlet_cells, ["i", "j", "k", "axis", "value"])):
+        per = per.join(df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*row))).alias(name)), "path", "full")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                listed = lambda x: () if x is None else x
+                grid = listed(r.grid)
+                f = np.array([((q["i"], q["j"], q["k"]), (q["fx"], q["fy"], q["fz"])) for q in listed(r.forces)], FORCE)
+                fixed = [np.array([((q["i"], q["j"], q["k"]), q["axis"], q["value"]) for q in listed(x)], CONDITION) for x in (r.dirichlet, r.dirichlet_cells)]
+                bases, values = [(q["i"], q["j"], q["k"]) for q in grid], [q["data"] for q in grid]
+                rows.append((r.path, encode(np.array(bases).reshape(-1, 3), np.array(values).reshape(-1, 64), f, *fixed, settings)))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return per.mapInPandas(run, "path string, content binary")
+
+
+def write(files: DataFrame, folder: str) -> None:
+    """Each row (path, content) as a file of the path's last name in a folder that all executors share; a retried task writes the same again."""
+
+    def put(rows: Iterator) -> None:
+        for r in rows:
+            name = os.path.join(folder, os.path.basename(r["path"]))
+            part = f"{name}.{os.getpid()}.part"
+            with open(part, "wb") as f:
+                f.write(r["content"])
+            os.replace(part, name)
 
-    return files.mapInPandas(run, KINDS[kind])
+    files.foreachPartition(put)
 
 
-def blocks(cells: DataFrame) -> DataFrame:
-    """(i, j, k, data): cells in blocks of 64 values, as files hold them; missing cells are 0."""
+def blocks(cells: DataFrame, *by: str) -> DataFrame:
+    """(i, j, k, data), after the columns ``by``: cells in blocks of 64 values, as files hold them; missing cells are 0."""
     base = [(F.floor(F.col(c) / 4) * 4).cast("int").alias(c) for c in "ijk"]
-    at = (F.col("i") % 4) * 16 + (F.col("j") % 4) * 4 + F.col("k") % 4
-    return cells.groupBy(*base).agg(*(F.max(F.when(at == n, F.col("density"))).alias(f"v{n}") for n in range(64))).select("i", "j", "k", F.array(*(F.coalesce(f"v{n}", F.lit(0.0)) for n in range(64))).alias("data"))
+    at = F.pmod("i", F.lit(4)) * 16 + F.pmod("j", F.lit(4)) * 4 + F.pmod("k", F.lit(4))
+    return cells.groupBy(*by, *base).agg(*(F.max(F.when(at == n, F.col("density"))).alias(f"v{n}") for n in range(64))).select(*by, "i", "j", "k", F.array(*(F.coalesce(f"v{n}", F.lit(0.0)) for n in range(64))).alias("data"))
