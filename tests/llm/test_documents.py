@@ -304,6 +304,15 @@ def test_packing_keeps_all_words_and_no_conflict(spark, hard):
             assert len(own) == len(set(own))
 
 
+def test_packing_tells_rows_without_an_id_apart(spark):
+    rows = [(None, "same words here", "x")] * 3 + [(None, f"words {n}", None) for n in range(40)] + [(7, "a b", "x"), (7, "a b c", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(docs, capacity=8).collect()
+    assert len({(r.doc_id, r.copy) for r in out}) == len(rows) == len(out)
+    assert sorted(r.copy for r in out if r.doc_id == 7) == [1, 2]
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, packing.pack(docs.repartition(3), capacity=8).collect()), key=str)
+
+
 def test_patience_alignment():
     assert lines.patience([1, 2, 3, 4], [0, 2, 3, 9, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert lines.patience([], [1]) == []

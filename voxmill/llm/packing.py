@@ -17,7 +17,8 @@ from voxmill.llm.text import given_id, held_id, n_words
 from voxmill.session import checkpoint
 
 CAPACITY, SHARD = 2048, 4096
-OUT = "doc_id long, copy int, piece int, start long, words long, source string, cluster string, bin string"
+UNNAMED = 1024  # parts in which rows without a doc_id are numbered
+OUT = "doc_id long, copy long, piece int, start long, words long, source string, cluster string, bin string"
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
@@ -55,14 +56,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
     ``capacity`` words is cut: whole pieces fill a bin each, the rest is packed.
     Null and blank texts are pieces of 0 words and are packed too. ``cluster`` names
     the duplicates, by default texts that are equal; null sources and clusters
-    conflict with nothing. Rows with the same doc_id are told apart by ``copy``.
+    conflict with nothing. Rows with the same doc_id are told apart by ``copy``,
+    which counts them; those without a doc_id are numbered in parts, with gaps.
     Pieces are dealt to shards of about ``shard_rows`` by hash, so no source or
     cluster gathers in one task. Reruns agree; an empty table gives no rows.
     """
     cluster = F.md5(F.col("text")) if cluster is None else cluster.cast("string")
     p = docs.select(held_id(F.col("doc_id")).alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n_words(F.col("text")).alias("size"))
-    order = Window.partitionBy("doc_id").orderBy("size", "source", "cluster")
-    p = checkpoint(p.withColumn("copy", F.row_number().over(order)))
+    unnamed = given_id(F.col("doc_id")).isNull()
+    p = p.withColumn("part", F.when(unnamed, F.pmod(F.xxhash64("size", "source", "cluster"), F.lit(UNNAMED))).otherwise(0))
+    number = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("size", "source", "cluster")).cast("long")
+    p = checkpoint(p.withColumn("copy", F.when(unnamed, (number - 1) * UNNAMED + F.col("part") + 1).otherwise(number)).drop("part"))
     full = p.where(F.col("size") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("size") / capacity).cast("int") - 1)))
     name = F.concat(F.lit("whole:"), F.coalesce(given_id(F.col("doc_id")).cast("string"), F.lit("null")), F.lit(":"), "copy", F.lit(":"), "piece")
     full = full.select("doc_id", "copy", "piece", (F.col("piece") * F.lit(capacity).cast("long")).alias("start"), F.lit(capacity).cast("long").alias("words"), "source", "cluster", name.alias("bin"))
