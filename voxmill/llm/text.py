@@ -55,8 +55,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0][:n], _tables[1][:n]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, lower-cased bytes, offsets of rows) of runs of rows of about ``limit`` bytes."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, lower-cased unless asked not to, offsets of rows) of runs of rows of about ``limit`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.type != pa.large_string():
@@ -71,7 +71,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
-        yield first, _LOWER[raw[at[first] : at[last]]], at[first : last + 1] - at[first]
+        part = raw[at[first] : at[last]]
+        yield first, _LOWER[part] if lower else part, at[first : last + 1] - at[first]
         first = last
 
 
