@@ -215,13 +215,12 @@ def with_planted_tails(docs: DataFrame) -> DataFrame:
     p = 1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8))
     d = d.withColumns({"a": a, "p": p, "planted": F.coalesce((F.col("h") % 10 == 0) & (F.col("n") > 0), F.lit(False))})
 
-    def place(i: Column) -> Column:
-        return F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
-
-    of = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
-    words = d.where("planted").withColumn("w", of)
-    tail = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int"))), " ")
-    return d.where("not planted").select("doc_id", "text").union(words.select("doc_id", tail.alias("text")))
+    # whole arrays instead of a function of each place, into which Spark would copy the search for words
+    w, a, p = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.col("a").cast("int"), F.col("p").cast("int")
+    left = (F.col("n") - F.col("a")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    planted = F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")
+    return d.where("not planted").select("doc_id", "text").union(d.where("planted").select("doc_id", planted.alias("text")))
 
 
 def digests(found: DataFrame) -> DataFrame:
