@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import ann, chat, lines, minhash, mixing, packing, runs, substrings, topk, toxicity, trie, urls
+from voxmill.llm import ann, chat, jaccard, lines, minhash, mixing, packing, runs, substrings, topk, toxicity, trie, urls
 from voxmill.session import checkpoint
 
 
@@ -52,6 +52,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie_query(table(spark, sf_dir, "conversations"))
 
@@ -60,5 +64,5 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_planted_tails(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_urls, op5_substrings, op6_mixing, op7_ann, op8_lines, op9_minhash, op10_topk, op12_trie, op13_runs)}
-ORACLE_SQL = {"op9_minhash": minhash.ORACLE, "op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE, "op12_trie": trie.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_urls, op5_substrings, op6_mixing, op7_ann, op8_lines, op9_minhash, op10_topk, op11_jaccard, op12_trie, op13_runs)}
+ORACLE_SQL = {"op9_minhash": minhash.ORACLE, "op3_chat": chat.ORACLE, "op10_topk": topk.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_trie": trie.ORACLE}
