@@ -130,6 +130,43 @@ def test_wide_components_equal_flooding(spark):
     assert sorted(r.cells for r in more.w25_components(spark, "/root/testdata/sf0.001").collect()) == sorted(sizes)
 
 
+def test_parts_of_blocks_equal_flooding():
+    rng = np.random.default_rng(4)
+    masks = rng.integers(0, 2**64, 300, dtype=np.uint64, endpoint=False) & np.where(rng.random(300) < 0.5, rng.integers(0, 2**64, 300, dtype=np.uint64), ~np.uint64(0))
+    masks[:3] = (0, ~np.uint64(0), 1 << 63)
+    rows, bits = components.parts(masks)
+    cells = list(product(range(4), repeat=3))
+    for n, mask in enumerate(masks):
+        left, want = {c for b, c in enumerate(cells) if int(mask) >> b & 1}, set()
+        while left:
+            todo, own = [left.pop()], set()
+            while todo:
+                x = todo.pop()
+                own.add(x)
+                near = {tuple(p + q for p, q in zip(x, o, strict=True)) for o in grid.FACES} & left
+                left -= near
+                todo += near
+            want.add(frozenset(own))
+        assert {frozenset(c for b, c in enumerate(cells) if int(x) >> b & 1) for x in bits[rows == n]} == want
+
+
+def test_components_that_wind_through_all_blocks(spark):
+    # a snake of a hundred thousand cells with gaps of one cell, negative coordinates, and single cells between
+    snake = []
+    for row in range(500):
+        line = [(2 * row - 200, y, -7) for y in range(-100, 98)]
+        snake += line if row % 2 == 0 else line[::-1]
+        snake.append((2 * row - 199, 97 if row % 2 == 0 else -100, -7))
+    lone = [(2 * k, 2 * k, 40 + 2 * k) for k in range(50)]
+    assert len(snake) > 99_000
+    df = spark.createDataFrame(snake + lone + snake[:10], "i int, j int, k int").repartition(4)
+    sizes = sorted(r.cells for r in components.sizes(components.face_components(df)).collect())
+    assert sizes == [1] * 50 + [len(snake)]
+    first = min(snake)
+    name = components.face_components(df).where("k = -7").select("component", components.packed(*(F.lit(c) for c in first)).alias("want")).distinct().collect()
+    assert [r.component == r.want for r in name] == [True]
+
+
 def test_domains_reject_what_they_do_not_know():
     with pytest.raises(ValueError):
         sdf.domain("torus")

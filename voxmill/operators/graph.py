@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates two star steps, so the number of rounds follows the logarithm of the
     diameter. Each round's pairs are pre-aggregated before they are shuffled, and a
-    hub's pairs are split by Spark's skew join. Rounds run in as many tasks as the
-    counted edges need. Null ends and self loops are ignored; an empty edge table
+    hub's pairs are split by Spark's skew join. Rounds run in as many tasks as there are
+    cores, or as the counted edges need. Null ends and self loops are ignored; an empty edge table
     gives an empty result.
     """
     e = (
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     e = checkpoint(e)
-    tasks = -(-e.count() // EDGES_A_TASK) or 1
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-e.count() // EDGES_A_TASK))
     e = e.coalesce(tasks)
     for _ in range(max_rounds):
         # large star: every neighbour above a node goes to the node's smallest neighbour
