@@ -463,7 +463,7 @@ def test_problem_files(spark, tmp_path):
     block = problems.blocks(spark.createDataFrame([tuple(cells[0])[1:]], "i int, j int, k int, density double")).first()
     assert (block.i, block.j, block.k) == (4, 8, 12) and block.data == data
     with pytest.raises(ValueError):
-        problems.parse(b"\x00" * 8 + body)
+        problems.layout(b"\x00" * 8 + body)
 
 
 def test_problem_files_round_trip(spark, tmp_path):
@@ -487,6 +487,29 @@ def test_problem_files_round_trip(spark, tmp_path):
     assert problems.last_file(spark, str(tmp_path / "out"), "a*").endswith("/a.bin")
 
 
+def test_large_problem_files_are_read_by_ranges(spark, tmp_path):
+    """Both kinds of a problem of 10^5 blocks: many tasks read and no task writes half a file."""
+    from voxmill.sources import problems
+
+    n = F.col("id")
+    cells = spark.range(100_000).select(F.lit("a.bin").alias("path"), *((n if c == "i" else F.lit(0)).cast("int").alias(c) for c in "ijk"), (n % 7 + 1).cast("double").alias("mu")).withColumn("i", F.col("i") * 4)
+    other = cells.select("path", "i", "j", "k", (F.col("mu") / 2).alias("lambda"))
+    forces = spark.range(40_000).select(F.lit("a.bin").alias("path"), F.col("id").alias("seq"), *(F.lit(x).alias(c) for c, x in zip("ijk", (1, 2, 3), strict=True)), *((F.col("id") * x).cast("double").alias(f"f{c}") for c, x in zip("xyz", (1, 2, 3), strict=True)))
+    none = spark.createDataFrame([], problems.DIRICHLET)
+    problems.write(problems.encoded((cells, other), forces, none, none, {"dx": 0.5, "caller_method": "é"}), str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.bin"]
+    for kind, want in (("mu", cells), ("lambda", other), ("forces", forces)):
+        got = problems.read(spark, str(tmp_path), kind).drop("path")
+        assert got.rdd.getNumPartitions() > 1 and got.count() == want.count()
+        assert got.select(F.sum(F.xxhash64(*got.columns).cast("decimal(38,0)"))).first() == want.select(*got.columns).select(F.sum(F.xxhash64(*got.columns).cast("decimal(38,0)"))).first()
+    assert problems.read(spark, str(tmp_path), "density").count() == 0
+    assert {r.name: r.value for r in problems.read(spark, str(tmp_path), "header").collect()}["caller_method"] == "é"
+    bad = problems.encoded((cells, other), forces.withColumn("fx", F.when(F.col("seq") == 39_999, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("fx"))), none, none, {}).withColumn("path", F.lit("b.bin"))
+    with pytest.raises(Exception, match="lost"):
+        problems.write(bad, str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.bin"]
+
+
 def test_result_and_grid_files(spark, tmp_path):
     import struct
 

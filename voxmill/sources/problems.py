@@ -1,4 +1,4 @@
-"""Framed binary files of problems, results and grids: readers into tables, and a writer of problems.
+"""Framed binary files of problems, results and grids: a data source that reads problems by byte ranges and writes them.
 
 All values are little-endian and unpadded. A file is its total length (u64),
 then the fields of HEADER in order; a string is a u64 count and its bytes, a
@@ -8,14 +8,21 @@ three i32 and 64 doubles.
 
 from __future__ import annotations
 
-import os
+import io
+import posixpath
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 VERSION = (3, 1)
 SHAPE = (4, 4, 4)
@@ -28,30 +35,40 @@ DISPLACEMENTS = "path string, i int, j int, k int, u0 double, u1 double, u2 doub
 KINDS = {"density": CELLS, "mu": CELLS.replace("density", "mu"), "lambda": CELLS.replace("density", "lambda"), "forces": FORCES, "dirichlet": DIRICHLET, "dirichlet_cells": DIRICHLET, "header": HEADER}
 RESULTS = {"displacements": DISPLACEMENTS, "residual_field": CELLS.replace("density", "residual"), "residuals": RESIDUALS, "header": HEADER}
 GRIDS = {"double": "<f8", "float": "<f4", "uint8": "u1"}
+BLOCK = [("base", "<i4", 3), ("data", "<f8", 64)]
 FORCE, CONDITION = [("at", "<i4", 3), ("f", "<f8", 3)], [("at", "<i4", 3), ("axis", "<i4"), ("value", "<f8")]
 
 
 class Cursor:
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 0
+    """Reads values one after another from a file, of which it holds a window."""
+
+    def __init__(self, file, window: int = 1 << 16) -> None:
+        self.file, self.window, self.at, self.begin, self.held = file, window, 0, 0, b""
+
+    def bytes(self, n: int) -> bytes:
+        if not self.begin <= self.at <= self.at + n <= self.begin + len(self.held):
+            self.file.seek(self.at)
+            self.begin, self.held = self.at, self.file.read(max(n, self.window))
+        self.at += n
+        return self.held[self.at - n - self.begin : self.at - self.begin]
 
     def take(self, form: str) -> tuple:
-        out = struct.unpack_from(f"<{form}", self.data, self.at)
-        self.at += struct.calcsize(f"<{form}")
-        return out
+        return struct.unpack(f"<{form}", self.bytes(struct.calcsize(f"<{form}")))
 
     def text(self) -> str:
         (n,) = self.take("Q")
-        self.at += n
-        return self.data[self.at - n : self.at].decode()
+        return self.bytes(n).decode()
 
-    def records(self, fields: list) -> np.ndarray:
+    def place(self, fields: list) -> tuple[int, int]:
+        """(offset, count) of a list of records, which is skipped."""
         (n,) = self.take("Q")
-        kind = np.dtype(fields)
-        out = np.frombuffer(self.data, kind, n, self.at)
-        self.at += n * kind.itemsize
-        return out
+        at, self.at = self.at, self.at + n * np.dtype(fields).itemsize
+        return at, n
 
+    def records(self, fields: list) -> np.ndarray:
+        at, n = self.place(fields)
+        end, self.at = self.at, at
+        return np.frombuffer(self.bytes(end - at), np.dtype(fields), n)
 
     def grid(self, form: str = "<f8", values: int = 64) -> np.ndarray:
         self.take("iii")
@@ -61,16 +78,18 @@ class Cursor:
         header.update(zip(names.split(), self.take(form), strict=True))
 
 
-def _opened(data: bytes) -> Cursor:
-    c = Cursor(data)
-    if c.take("Q")[0] != len(data):
+def _opened(file) -> Cursor:
+    """A file's values after its length; a wrong length stops."""
+    file = io.BytesIO(file) if isinstance(file, bytes) else file
+    c = Cursor(file)
+    if c.take("Q")[0] != file.seek(0, 2):
         raise ValueError("the file's length isn't the one that it names")
     return c
 
 
-def _begun(data: bytes) -> tuple[Cursor, dict[str, object]]:
+def _begun(file) -> tuple[Cursor, dict[str, object]]:
     """What problems and results begin with: version and extra values."""
-    c, header = _opened(data), {}
+    c, header = _opened(file), {}
     if c.take("ii") != VERSION:
         raise ValueError("unknown version")
     for kind, form in (("string", None), ("int", "i"), ("double", "d")):
@@ -80,27 +99,27 @@ def _begun(data: bytes) -> tuple[Cursor, dict[str, object]]:
     return c, header
 
 
-def parse(data: bytes, settings: bool = True) -> dict[str, object]:
-    """Grids, forces, conditions and header of one problem; stops at a wrong length or version.
+def layout(file, settings: bool = False) -> tuple[dict[str, object], dict[str, tuple[int, int]]]:
+    """(header, (offset, count) of each list) of a problem; reads the values between the lists alone.
 
-    A file of densities has a grid density, another one two grids mu and lambda.
-    Without ``settings`` it ends at the conditions, and the header lacks what stands after them.
+    A file of densities has a grid density, another one two grids mu and lambda. Stops at a wrong length or version.
+    With ``settings`` the header also has what stands after the lists.
     """
-    c, header = _begun(data)
+    c, header = _begun(file)
     c.named(header, "dx preserved_buffer_size use_density_only", "dQ?")
-    none, out = np.zeros(0, [("base", "<i4", 3), ("data", "<f8", 64)]), {}
+    out = dict.fromkeys(("density", "mu", "lambda"), (0, 0))
     if header["use_density_only"]:
         c.named(header, "global_mu global_lambda", "dd")
-        out |= {"density": c.grid(), "mu": none, "lambda": none}
-    else:
-        out |= {"density": none, "mu": c.grid(), "lambda": c.grid()}
+    for name in ("density",) if header["use_density_only"] else ("mu", "lambda"):
+        c.take("iii")
+        out[name] = c.place(BLOCK)
     c.named(header, "mg_level explicit_mg_level pre_and_post_smoothing_iter bottom_smoothing_iter jacobi_damping", "iiiid")
     c.named(header, "resolution_x resolution_y resolution_z", "iii")
-    out |= {"forces": c.records(FORCE), "dirichlet": c.records(CONDITION), "dirichlet_cells": c.records(CONDITION)}
+    out |= {"forces": c.place(FORCE), "dirichlet": c.place(CONDITION), "dirichlet_cells": c.place(CONDITION)}
     if settings:
         c.named(header, "krylov_tolerance krylov_max_iterations krylov_restart krylov_print", "dii?")
         header["caller_method"] = c.text()
-    return out | {"header": header}
+    return header, out
 
 
 def parse_results(data: bytes) -> dict[str, object]:
@@ -121,7 +140,8 @@ def cells_of(found: np.ndarray, names: list[str], width: int = 1) -> pd.DataFram
     return pd.concat([pd.DataFrame(at[some], columns=["i", "j", "k"]), pd.DataFrame(value[some], columns=names)], axis=1)
 
 
-def rows_of(kind: str, path: str, found: object) -> pd.DataFrame:
+def rows_of(kind: str, path: str, found: object, first: int = 0) -> pd.DataFrame:
+    """The rows of a list, whose first record is number ``first``."""
     if kind == "header":
         out = pd.DataFrame({"name": list(found), "value": [str(v) for v in found.values()]}, dtype=object)
     elif kind == "residuals":
@@ -133,7 +153,7 @@ def rows_of(kind: str, path: str, found: object) -> pd.DataFrame:
     else:
         out = pd.DataFrame(found["at"], columns=["i", "j", "k"])
         if kind == "forces":
-            out.insert(0, "seq", np.arange(len(out)))
+            out.insert(0, "seq", first + np.arange(len(out)))
             out[["fx", "fy", "fz"]] = found["f"]
         else:
             out["axis"], out["value"] = found["axis"], found["value"]
@@ -152,9 +172,123 @@ def _each_file(spark: SparkSession, path: str, rows: object, schema: str) -> Dat
     return files.mapInPandas(run, schema)
 
 
-def read(spark: SparkSession, path: str, kind: str = "density") -> DataFrame:
-    """A table of KINDS of all problem files of a path; a file is read in one task."""
-    return _each_file(spark, path, lambda p, content: rows_of(kind, p, parse(content, kind == "header")[kind]), KINDS[kind])
+def record(kind: str) -> list:
+    return FORCE if kind == "forces" else CONDITION if kind.startswith("dirichlet") else BLOCK
+
+
+@dataclass
+class Range(InputPartition):
+    """``count`` records of a file's list from number ``first`` on, at a byte offset; the header is one range of its own."""
+
+    path: str
+    offset: int = 0
+    first: int = 0
+    count: int = 0
+
+
+class ProblemReader(DataSourceReader):
+    def __init__(self, path: str, kind: str, size: int) -> None:
+        self.path, self.kind, self.size = path, kind, size
+
+    def partitions(self) -> list[Range]:
+        store, top = fs.FileSystem.from_uri(self.path)
+        info = store.get_file_info(top)
+        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(top))
+        out = []
+        for f in sorted((f for f in files if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+            if self.kind == "header":
+                out.append(Range(f.path))
+                continue
+            with store.open_input_file(f.path) as file:
+                offset, count = layout(file)[1][self.kind]
+            each = np.dtype(record(self.kind)).itemsize
+            out += [Range(f.path, offset + n * each, n, min(self.size, count - n)) for n in range(0, count, self.size)]
+        return out or [Range("")]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(partition.path) as file:
+            if self.kind == "header":
+                found = layout(file, settings=True)[0]
+            else:
+                kind = np.dtype(record(self.kind))
+                file.seek(partition.offset)
+                found = np.frombuffer(file.read(partition.count * kind.itemsize), kind, partition.count)
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in KINDS[self.kind].split(", "))])
+        yield pa.RecordBatch.from_pandas(rows_of(self.kind, partition.path, found, partition.first), schema=schema, preserve_index=False)
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class ProblemWriter(DataSourceWriter):
+    """Tasks stream their files into a staging folder; the commit moves whole files, an abort removes the folder."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.name = path, f"_staged-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> Staged:
+        store, top = fs.FileSystem.from_uri(self.path)
+        folder = posixpath.join(top, self.name, str(TaskContext.get().taskAttemptId()))
+        file, at, done = None, None, []
+        try:
+            for row in iterator:
+                name = posixpath.basename(row["path"])
+                if name != at:
+                    if file:
+                        file.close()
+                    store.create_dir(folder, recursive=True)
+                    at, file = name, store.open_output_stream(posixpath.join(folder, name))
+                    done.append((posixpath.join(folder, name), posixpath.join(top, name)))
+                file.write(row["chunk"])
+        finally:
+            if file:
+                file.close()
+        return Staged(done)
+
+    def _clear(self) -> None:
+        store, top = fs.FileSystem.from_uri(self.path)
+        folder = posixpath.join(top, self.name)
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        store, _ = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            for staged, final in m.files if m else ():
+                store.move(staged, final)
+        self._clear()
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        self._clear()
+
+
+class ProblemFiles(DataSource):
+    """Options: path (a file or a folder, of any store that pyarrow knows), kind (of KINDS), records (a task's most)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "voxmill_problems"
+
+    def schema(self) -> str:
+        return KINDS[self.options.get("kind", "density")]
+
+    def reader(self, schema) -> ProblemReader:
+        return ProblemReader(self.options["path"], self.options.get("kind", "density"), int(self.options.get("records", 1 << 15)))
+
+    def writer(self, schema, overwrite: bool) -> ProblemWriter:
+        return ProblemWriter(self.options["path"])
+
+
+def read(spark: SparkSession, path: str, kind: str = "density", records: int = 1 << 15) -> DataFrame:
+    """A table of KINDS of all problem files of a path; a task reads ``records`` blocks, forces or conditions at most."""
+    spark.dataSource.register(ProblemFiles)
+    return spark.read.format("voxmill_problems").option("kind", kind).option("records", records).load(path)
 
 
 def read_results(spark: SparkSession, path: str, kind: str = "displacements") -> DataFrame:
@@ -178,61 +312,78 @@ def last_file(spark: SparkSession, path: str, glob: str = "*") -> str | None:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).agg(F.max("path")).first()[0]
 
 
-def encode(bases: np.ndarray, data: np.ndarray, forces: np.ndarray, dirichlet: np.ndarray, dirichlet_cells: np.ndarray, settings: dict[str, object]) -> bytes:
-    """The bytes of a problem of densities. ``settings`` are what parse gives as header; what is missing is 0 or empty."""
+def _texts(settings: dict[str, object], counts: dict[str, int]) -> list[bytes]:
+    """What stands before, between and after the lists of a problem, in order; the file's length is first of all."""
     text = lambda x: struct.pack("<Q", len(x.encode())) + x.encode()
     value = lambda names: [settings.get(n, 0) for n in names.split()]
-    many = lambda x: struct.pack("<Q", len(x)) + x.tobytes()
     out = [struct.pack("<ii", *VERSION)]
     for kind, form in (("string", None), ("int", "<i"), ("double", "<d")):
         extra = sorted((k.removeprefix(f"extra {kind} "), v) for k, v in settings.items() if k.startswith(f"extra {kind} "))
         out += [struct.pack("<Q", len(extra)), *(text(k) + (struct.pack(form, v) if form else text(v)) for k, v in extra)]
-    grid = np.zeros(len(bases), [("base", "<i4", 3), ("data", "<f8", 64)])
-    grid["base"], grid["data"] = bases, data
-    shape = struct.pack("<iii", *value("resolution_x resolution_y resolution_z"))
-    out += [struct.pack("<dQ?dd", *value("dx preserved_buffer_size"), True, *value("global_mu global_lambda")), shape, many(grid)]
-    out += [struct.pack("<iiiid", *value("mg_level explicit_mg_level pre_and_post_smoothing_iter bottom_smoothing_iter jacobi_damping")), shape]
-    out += [many(forces), many(dirichlet), many(dirichlet_cells), struct.pack("<dii?", *value("krylov_tolerance krylov_max_iterations krylov_restart krylov_print")), text(settings.get("caller_method", ""))]
-    body = b"".join(out)
-    return struct.pack("<Q", len(body) + 8) + body
-
-
-def encoded(cells: DataFrame, forces: DataFrame, dirichlet: DataFrame, dirichlet_cells: DataFrame, settings: dict[str, object]) -> DataFrame:
-    """(path, content): one problem file for each path of the tables of KINDS, ordered by coordinates and by seq.
-
-    A file is made in one task, as the format is one length and its bytes.
+    grids = [k for k in ("density", "mu", "lambda") if k in counts]
+    shape, dense = struct.pack("<iii", *value("resolution_x resolution_y resolution_z")), grids == ["density"]
+    out.append(struct.pack("<dQ?", *value("dx preserved_buffer_size"), dense) + (struct.pack("<dd", *value("global_mu global_lambda")) if dense else b""))
+    parts = [b"".join(out) + shape, *[shape] * (len(grids) - 1)]
+    parts.append(struct.pack("<iiiid", *value("mg_level explicit_mg_level pre_and_post_smoothing_iter bottom_smoothing_iter jacobi_damping")) + shape)
+    lists = [*grids, "forces", "dirichlet", "dirichlet_cells"]
+    parts += [b"", b""]
+    parts = [p + struct.pack("<Q", counts[k]) for p, k in zip(parts, lists, strict=True)]
+    parts.append(struct.pack("<dii?", *value("krylov_tolerance krylov_max_iterations krylov_restart krylov_print")) + text(settings.get("caller_method", "")))
+    size = 8 + sum(map(len, parts)) + sum(counts[k] * np.dtype(record(k)).itemsize for k in lists)
+    parts[0] = struct.pack("<Q", size) + parts[0]
+    return parts
+
+
+def encoded(cells: DataFrame | tuple[DataFrame, DataFrame], forces: DataFrame, dirichlet: DataFrame, dirichlet_cells: DataFrame, settings: dict[str, object]) -> DataFrame:
+    """(path, chunk): the bytes of a problem file for each path of the tables of KINDS, a file's chunks in order in one partition.
+
+    ``cells`` are densities, or two tables of mu and lambda. Blocks are ordered by
+    coordinates, forces by seq, conditions by node, axis and value. ``settings`` are what
+    is read as header; what is missing is 0 or empty. Only counts are gathered for a file; a
+    task holds a batch of it.
     """
-    per = blocks(cells, "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "j", "k", "data"))).alias("grid"))
-    for name, df, row in (("forces", forces, ["seq", "i", "j", "k", "fx", "fy", "fz"]), ("dirichlet", dirichlet, ["i", "j", "k", "axis", "value"]), ("dirichlet_cells", dirichlet_cells, ["i", "j", "k", "axis", "value"])):
-        per = per.join(df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*row))).alias(name)), "path", "full")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tables = {"density": blocks(cells, "path")} if isinstance(cells, DataFrame) else {k: blocks(df.withColumnRenamed(k, "density"), "path") for k, df in zip(("mu", "lambda"), cells, strict=True)}
+    tables |= {"forces": forces, "dirichlet": dirichlet, "dirichlet_cells": dirichlet_cells}
+    order = {"forces": ["seq"], "dirichlet": ["i", "j", "k", "axis", "value"], "dirichlet_cells": ["i", "j", "k", "axis", "value"]}
+    out = "path string, part int, key array<double>, chunk binary"
+
+    def records(kind: str, part: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = np.zeros(len(pdf), record(kind))
+                found[found.dtype.names[0]] = pdf[["i", "j", "k"]].to_numpy().reshape(-1, 3)
+                if kind == "forces":
+                    found["f"] = pdf[["fx", "fy", "fz"]].to_numpy()
+                elif "data" in found.dtype.names:
+                    found["data"] = np.stack(pdf["data"].to_numpy()) if len(pdf) else found["data"]
+                else:
+                    found["axis"], found["value"] = pdf["axis"], pdf["value"]
+                yield pd.DataFrame({"path": pdf["path"], "part": part, "key": pdf["key"], "chunk": [r.tobytes() for r in found]})
+
+        return run
+
+    chunks, counts = None, None
+    for n, (kind, df) in enumerate(tables.items()):
+        key = F.array(*(F.col(c).cast("double") for c in order.get(kind, ["i", "j", "k"]))).alias("key")
+        own = df.select(*df.columns, key).mapInPandas(records(kind, 2 * n + 1), out)
+        many = df.groupBy("path").agg(F.count("*").alias(kind))
+        chunks, counts = (own, many) if chunks is None else (chunks.union(own), counts.join(many, "path", "full"))
+
+    names = list(tables)
+
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                listed = lambda x: () if x is None else x
-                grid = listed(r.grid)
-                f = np.array([((q["i"], q["j"], q["k"]), (q["fx"], q["fy"], q["fz"])) for q in listed(r.forces)], FORCE)
-                fixed = [np.array([((q["i"], q["j"], q["k"]), q["axis"], q["value"]) for q in listed(x)], CONDITION) for x in (r.dirichlet, r.dirichlet_cells)]
-                bases, values = [(q["i"], q["j"], q["k"]) for q in grid], [q["data"] for q in grid]
-                rows.append((r.path, encode(np.array(bases).reshape(-1, 3), np.array(values).reshape(-1, 64), f, *fixed, settings)))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+            rows = [(r["path"], 2 * n, [0.0], b) for r in pdf.fillna(0).to_dict("records") for n, b in enumerate(_texts(settings, {k: int(r[k]) for k in names}))]
+            yield pd.DataFrame(rows, columns=["path", "part", "key", "chunk"])
 
-    return per.mapInPandas(run, "path string, content binary")
+    chunks = chunks.union(counts.mapInPandas(between, out))
+    return chunks.repartition("path").sortWithinPartitions("path", "part", "key").select("path", "chunk")
 
 
 def write(files: DataFrame, folder: str) -> None:
-    """Each row (path, content) as a file of the path's last name in a folder that all executors share; a retried task writes the same again."""
-
-    def put(rows: Iterator) -> None:
-        for r in rows:
-            name = os.path.join(folder, os.path.basename(r["path"]))
-            part = f"{name}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(r["content"])
-            os.replace(part, name)
-
-    files.foreachPartition(put)
+    """The rows (path, chunk) of ``encoded`` as files of the paths' last names in a folder; files stand there whole or not at all."""
+    files.sparkSession.dataSource.register(ProblemFiles)
+    files.write.format("voxmill_problems").mode("append").save(folder)
 
 
 def blocks(cells: DataFrame, *by: str) -> DataFrame:
