@@ -60,7 +60,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "g", 2, 3) for i, t in rows], "doc_id long, text string, n int, gram string, rep int, label int")
 
 
-@pytest.mark.parametrize(("seed", "vocabulary", "block", "counters"), [(1, 10**6, 1024, 1 << 22), (2, 6, 4, 1 << 16), (3, 300, 3, 1 << 18)])
+@pytest.mark.parametrize(("seed", "vocabulary", "block", "counters"), [(1, 10**6, 1024, 1 << 24), (2, 6, 4, 1 << 16), (3, 300, 3, 1 << 18)])
 def test_joined_documents_equal_brute_force(spark, monkeypatch, seed, vocabulary, block, counters):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(seed, vocabulary)

@@ -23,7 +23,7 @@ from voxmill.operators.graph import connected_components
 from voxmill.session import checkpoint
 
 SIZE, PERCENT = 3, 90
-COUNTERS, CHUNK = 1 << 22, 1 << 16  # counters of n-grams; those that travel together
+COUNTERS, CHUNK = 1 << 24, 1 << 16  # counters of n-grams; those that travel together
 PARTS = 32  # of a set, by the last bits of its hashes
 ORDERS = 8  # of the chains, one for each remainder of an n-gram
 BLOCK = 1024  # members of a list that one task chains, and that each other member meets at a time
@@ -34,7 +34,7 @@ def frequencies(texts: DataFrame, size: int, counters: int = COUNTERS) -> np.nda
     chunks = counters // CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.int64)
+        total = np.zeros(counters, np.uint32)
         for batch in batches:
             for _, data, at in slices(batch.column(0)):
                 s, rows = shingles(*word_hashes(data, at), size)
@@ -49,7 +49,7 @@ def frequencies(texts: DataFrame, size: int, counters: int = COUNTERS) -> np.nda
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(pa.decompress(counts, 8 * CHUNK, "zstd", asbytes=True), np.int64)
+                part = np.frombuffer(pa.decompress(counts, 4 * CHUNK, "zstd", asbytes=True), np.uint32).astype(np.int64)
                 sums[n] = sums[n] + part if n in sums else part
         for n, total in sums.items():
             level = np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8)
@@ -74,7 +74,7 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, size: int, percent: int, level: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, parts) of every row; n = 0 where there are no words. k1, k2 tell sets apart."""
+    """(doc_id, n, k1, k2, prefix, parts, d1, d2) of every row; n = 0 where there are no words. k1, k2 tell sets apart; the sizes of a set's parts stand in parts and, coarser, in d1 and d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,17 +86,20 @@ def fingerprints(texts: DataFrame, size: int, percent: int, level: np.ndarray) -
                 one, two = running(mix(flat)), running(mix(flat ^ np.uint64(0xA5A5A5A5)))
                 owner = np.repeat(np.arange(len(sets)), n)
                 parts = np.bincount(owner * PARTS + (flat & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS * len(sets))
+                coarse = np.minimum(parts.reshape(-1, 2).sum(axis=1), 255).astype(np.uint8).reshape(len(sets), 2, 8)
+                coarse = np.ascontiguousarray(coarse).view(np.int64).reshape(len(sets), 2)
                 parts = np.minimum(parts, 65535).astype(np.uint16).reshape(len(sets), PARTS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)), pa.array(n, pa.int64()),
                         pa.array((one[ends[1:]] - one[ends[:-1]]).view(np.int64)), pa.array((two[ends[1:]] - two[ends[:-1]]).view(np.int64)),
                         pa.array([x[:p].tobytes() for x, p in zip(sets, prefix_sizes(n, percent), strict=True)], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary()),
+                        pa.array(coarse[:, 0]), pa.array(coarse[:, 1]),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "prefix", "parts"],
+                    names=["doc_id", "n", "k1", "k2", "prefix", "parts", "d1", "d2"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix binary, parts binary")
+    return texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix binary, parts binary, d1 long, d2 long")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -119,10 +122,11 @@ def least_shared(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / (100 + percent))
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Length filter, and positional filter of one shared n-gram: as many before it as the smaller place, and the rest."""
+def may_link(a: str, b: str, percent: int, first: bool = False) -> Column:
+    """Length filter, and positional filter of one shared n-gram: as many before it as the smaller place, none if it is to be the first, and the rest."""
     na, nb, i, j = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"pos{a}"), F.col(f"pos{b}")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(i, j) + F.least(na - i, nb - j) >= least_shared(na, nb, percent))
+    before = F.lit(0) if first else F.least(i, j)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (before + F.least(na - i, nb - j) >= least_shared(na, nb, percent))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -130,39 +134,53 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def chains(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each list's members with the next one, in an order by chance that the n-gram chooses; long lists in parts."""
+    """(a, b): each list's members with the next one, in an order by chance that the n-gram chooses (long lists in parts), and with the one that has the n-gram first."""
     member = F.struct(F.xxhash64("rep", F.pmod("gram", F.lit(ORDERS))).alias("at"), "rep", "n", "pos")
     m = lists.select("gram", "members", member.alias("m"))
     m = m.withColumn("part", F.pmod(F.col("m")["at"], F.ceil(F.col("members") / BLOCK)))
     inner = m.select("m", F.expr("lag(m) over (partition by gram, part order by m)").alias("o"))
     heads = m.where(F.col("members") > BLOCK).groupBy("gram", "part").agg(F.min("m").alias("m"))
     outer = heads.select("m", F.expr("lag(m) over (partition by gram order by part)").alias("o"))
-    both = inner.union(outer).where("o is not null").select(*(F.col(s)[c].alias(f"{c}{s}") for s in "mo" for c in ("rep", "n", "pos")))
+    # a text that others are copies of has what they share at earlier places than they, behind their own new n-grams
+    hub = lists.where("members > 2").groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("o"))
+    stars = lists.select("gram", F.struct("rep", "n", "pos").alias("m")).join(hub, "gram").where("m.rep <> o.rep")
+    flat = [F.col(s)[c].alias(f"{c}{s}") for s in "mo" for c in ("rep", "n", "pos")]
+    both = inner.union(outer).where("o is not null").select(*flat).union(stars.select(*flat))
     return ordered(both.where(may_link("m", "o", percent)).select(F.col("repm").alias("a"), F.col("repo").alias("b"))).distinct()
 
 
-def across_components(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def parts_apart(x: str, y: str) -> Column:
+    """By how much the sizes of 16 parts differ, a byte each in two longs; two sets differ by no less."""
+    byte = lambda c, n: F.shiftright(F.col(c), 8 * n).bitwiseAND(F.lit(255))
+    return sum((F.abs(byte(f"{d}{x}", n) - byte(f"{d}{y}", n)) for d in ("d1", "d2") for n in range(8)), F.lit(0).cast("long"))
+
+
+def across_components(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that share n-grams of their prefixes and pass the filters.
 
     In a list that holds several components, those outside its largest one meet all
-    members of other components, a block of the list at a time.
+    members of other components, a block of the list at a time. A pair comes of lists
+    of n-grams that can be the first that it shares, and only if the parts of both sets
+    are of like sizes.
     """
-    m = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = classes.select("rep", "d1", "d2").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    m = lists.join(known, "rep")
     sizes = m.groupBy("gram", "label").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("gram").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     m = checkpoint(m.join(mixed, "gram").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("other", F.col("label") != F.col("main")))
     one = m.where("other").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    one = one.select("gram", "block", *(F.col(c).alias(f"{c}x") for c in ("rep", "n", "pos", "label")))
-    two = m.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("gram", "block", "other", *(F.col(c).alias(f"{c}y") for c in ("rep", "n", "pos", "label")))
+    one = one.select("gram", "block", *(F.col(c).alias(f"{c}x") for c in ("rep", "n", "pos", "label", "d1", "d2")))
+    two = m.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("gram", "block", "other", *(F.col(c).alias(f"{c}y") for c in ("rep", "n", "pos", "label", "d1", "d2")))
     apart = (F.col("labelx") != F.col("labely")) & (~F.col("other") | (F.col("repx") < F.col("repy")))
-    met = one.join(two, ["gram", "block"]).where(apart & may_link("x", "y", percent))
+    alike = parts_apart("x", "y") <= F.col("nx") + F.col("ny") - 2 * least_shared(F.col("nx"), F.col("ny"), percent)
+    met = one.join(two, ["gram", "block"]).where(apart & may_link("x", "y", percent, first=True) & alike)
     first = F.col("repx") < F.col("repy")
     sides = [F.when(first, F.col(f"{c}{s}")).otherwise(F.col(f"{c}{t}")).alias(f"{c}{end}") for end, s, t in (("a", "x", "y"), ("b", "y", "x")) for c in ("n", "pos")]
     met = met.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"), *sides)
-    # all shared n-grams of both prefixes are known: what follows the last of them bounds the rest
-    known = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("posa").alias("i"), F.max("posb").alias("j"))
+    # of the shared n-grams those up to some place are known: what follows the last of them bounds the rest
+    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("posa").alias("i"), F.max("posb").alias("j"))
     rest = F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
-    return known.where(F.col("c") + rest >= least_shared(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return counted.where(F.col("c") + rest >= least_shared(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +244,7 @@ def joined_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
 
     tested = verified(chains(lists, percent))
     labels = checkpoint(connected_components(tested.where("linked"), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label")))
-    new = across_components(lists, labels, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    new = across_components(lists, labels, classes, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(new).where("linked")
     label = F.coalesce("label", "rep")
     for end in ("a", "b"):
