@@ -49,6 +49,20 @@ def test_populate_keeps_what_the_predicate_holds(spark, name):
     assert got == want and got
 
 
+@pytest.mark.parametrize("name", sorted(sdf.DOMAINS))
+def test_blocks_that_are_left_out_hold_no_cell(spark, name):
+    every = sdf.domain(name)
+    plain = lambda x, y, z: every(x, y, z)  # noqa: E731  without bounds: asked at every cell
+    for res, box in (((64, 64, 64), None), ((40, 24, 52), ((-0.4, -0.3, -0.45), (0.2, 0.1, 0.5)))):
+        got, want = (region.populate(spark, res, f, box).select("i", "j", "k") for f in (every, plain))
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_examined_cells_follow_the_surface(spark):
+    found = {n: region.candidates(spark, (8,) * 3, (8 + n,) * 3, sdf.domain("sphere", inner=0.5 - 2 / n, outer=0.5), 1 / n).count() for n in (128, 512)}
+    assert found[512] < 16 * 1.2 * found[128] and found[512] < 0.05 * 512**3
+
+
 def test_places_are_those_of_the_whole_order(spark):
     rng = np.random.default_rng(3)
     rows = [(int(x), int(y)) for x, y in rng.integers(0, 9, (500, 2))]
@@ -405,7 +419,53 @@ def test_meshes(spark, tmp_path):
     near = {k for k in product(range(8, 16), repeat=3) if abs(max(abs((x - 8 + 0.5) / 8 - 0.5) for x in k) - 0.25) <= 0.07 and sum(abs((x - 8 + 0.5) / 8 - 0.5) > 0.25 for x in k) <= 1}
     assert {(r.i, r.j, r.k) for r in fixed.collect() if r.flags & grid.FIXED_DENSITY} == near
     f = {(r.i, r.j, r.k): (r.fx, r.fy, r.fz) for r in mesh.normal_force(tri, cells, 1 / 8, 0.07).collect()}
-    assert f[14, 12, 12] == pytest.approx((-1, 0, 0))
+    assert f[14, 12, 12] == pytest.approx((1, 0, 0)) and f[10, 12, 12] == pytest.approx((-1, 0, 0))
+
+
+def plain_distance(p, t):
+    """Of a point to a triangle, by many points of it and its edges' exact nearest ones."""
+    a, b, c = (np.array(x) for x in t)
+    n = np.cross(b - a, c - a)
+    n = n / np.linalg.norm(n)
+    foot = p - np.dot(p - a, n) * n
+    if all(np.dot(np.cross(e - s, foot - s), n) >= 0 for s, e in ((a, b), (b, c), (c, a))):
+        return abs(np.dot(p - a, n))
+    return min(np.linalg.norm(p - s - np.clip(np.dot(p - s, e - s) / np.dot(e - s, e - s), 0, 1) * (e - s)) for s, e in ((a, b), (b, c), (c, a)))
+
+
+@pytest.mark.parametrize("law", [{"strength": 2.0}, {"wing": True}, {"no_z": True}, {"override": (0.0, 0.5, -1.0), "strength": 3.0}])
+def test_normal_forces_equal_a_plain_loop(spark, law):
+    rng = np.random.default_rng(12)
+    tris = [rng.uniform(-0.45, 0.45, 3) + rng.uniform(-size, size, (3, 3)) for size in (0.02, 0.05, 0.1, 0.3, 0.6) for _ in range(3)]
+    tris.append(np.array([[-0.4, -0.4, 0.1], [0.4, -0.4, 0.1], [-0.4, 0.4, 0.1]]))
+    tri = spark.createDataFrame([(n, *map(float, t.ravel())) for n, t in enumerate(tris)], "fid long, " + ", ".join(f"{c} double" for c in mesh.CORNER))
+    n, dx, reach, centre, falloff = 12, 1 / 12, 0.06, (0.1, 0.0, -0.1), 0.6
+    cells = region.region(spark, (8, 8, 8), (8 + n, 8 + n, 8 + n)).where("(i + j + k) % 5 > 0")
+    want = {}
+    for key in keys(cells):
+        p = (np.array(key) - 8) * dx - 0.5
+        w = max(0.0, 1 - np.linalg.norm(p - np.array(centre)) / falloff)
+        near = [np.cross(t[1] - t[0], t[2] - t[0]) for t in tris if plain_distance(p, t) <= reach]
+        total = sum((x / np.linalg.norm(x) for x in near), np.zeros(3))
+        if w <= 0 or total @ total < 1e-6:
+            continue
+        u = np.array(law["override"]) if "override" in law else total / np.linalg.norm(total)
+        if law.get("wing"):
+            if abs(u[1]) > 0.05:
+                want[key] = -u * (u[1] if u[1] > 0 else 0.4 / u[1]) * w
+        elif not (law.get("no_z") and abs(u[2]) >= 0.99):
+            want[key] = u * law.get("strength", 1.0) * w
+    got = {(r.i, r.j, r.k): (r.fx, r.fy, r.fz) for r in mesh.normal_force(tri, cells, dx, reach, centre=centre, falloff=falloff, **law).collect()}
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(got[k] == pytest.approx(tuple(want[k])) for k in want)
+
+
+def test_triangles_of_any_size_have_few_bins(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, *map(float, (rng.uniform(-0.5, 0.5, 3) + rng.uniform(-size, size, (3, 3))).ravel())) for n, size in enumerate((1e-4, 1e-3, 1e-2, 0.1, 0.5, 1.0) * 20)]
+    tri = spark.createDataFrame(rows, "fid long, " + ", ".join(f"{c} double" for c in mesh.CORNER))
+    most = mesh.binned(tri, 1 / 4000, 0.01).groupBy("fid").count().agg(F.max("count")).first()[0]
+    assert most <= 8
 
 
 def test_state_round_trip(spark, tmp_path):

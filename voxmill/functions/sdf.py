@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxmill.functions.grid import norm
 
 EDGE = 1e-6
+STEEP = {"wheel": (1 + 4.5**2) ** 0.5}  # how fast a domain's value can change with the distance, where that isn't 1
 Sdf = Callable[[Column, Column, Column], Column]
 
 
@@ -59,4 +60,6 @@ DOMAINS: dict[str, Callable[..., Sdf]] = {"dense": dense, "cylinder": cylinder,
 def domain(name: str, **settings) -> Sdf:
     if name not in DOMAINS:
         raise ValueError(f"unknown domain {name!r}")
-    return DOMAINS[name](**settings)
+    at = DOMAINS[name](**settings)
+    at.steep = STEEP.get(name, 1.0)  # so the values over a block are bounded by the one at its centre
+    return at

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.functions.grid import ACTIVE_CELL, AROUND, CORNERS, DIRICHLET_CELL, KEY, equal_keys, has, shifted, with_block
+from voxmill.functions.grid import ACTIVE_CELL, AROUND, CORNERS, DIRICHLET_CELL, DIRICHLET_NODE, KEY, equal_keys, has, shifted, with_block
 from voxmill.session import checkpoint
 
 
@@ -71,6 +71,47 @@ def coarsen_flags(cells: DataFrame, pad: tuple[int, int, int] = (4, 4, 4)) -> Da
     return cells.select(*half, "flags").groupBy(*KEY).agg(F.bit_or("flags").alias("flags"))
 
 
+LEVEL = "level"
+
+
+def hierarchy(cells: DataFrame, levels: int, pad: tuple[int, int, int] = (4, 4, 4)) -> DataFrame:
+    """(level, i, j, k, flags) of all levels, 0 the cells themselves; each further level halves the last.
+
+    Active and fixed bits of a cell rise to all cells over it. Every level comes from
+    the finest one, so that the whole is one scatter and one aggregation.
+    """
+    rise = ACTIVE_CELL | DIRICHLET_CELL[0] | DIRICHLET_CELL[1] | DIRICHLET_CELL[2]
+    every = cells.select(*KEY, "flags", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias(LEVEL))
+    up = {c: (F.expr(f"shiftright({c} - {p}, {LEVEL})") + p).cast("int") for c, p in zip(KEY, pad, strict=True)}
+    flags = F.when(F.col(LEVEL) == 0, F.col("flags")).otherwise(F.col("flags").bitwiseAND(F.lit(rise)))
+    return every.withColumns(up | {"flags": flags}).where((F.col(LEVEL) == 0) | (F.col("flags") != 0)).groupBy(LEVEL, *KEY).agg(F.bit_or("flags").alias("flags"))
+
+
+def hierarchy_nodes(every: DataFrame) -> DataFrame:
+    """(level, i, j, k, flags): flag_nodes of all levels at once."""
+    down = every.select(LEVEL, *KEY, F.shiftrightunsigned("flags", 4).alias("flags"))
+    return shifted(down, CORNERS).groupBy(LEVEL, *KEY).agg(F.bit_or("flags").alias("flags"))
+
+
+def hierarchy_blocks(every: DataFrame, size: tuple[int, int, int] = (4, 4, 4)) -> DataFrame:
+    """(level, bi, bj, bk): at level 0 the cells' blocks, above it those of active cells with their seven upper neighbours, and the neighbours' of fixed ones."""
+    active = shifted(every.where((F.col(LEVEL) > 0) & has(F.col("flags"), ACTIVE_CELL)).select(LEVEL, *KEY), CORNERS)
+    fixed = shifted(every.where((F.col(LEVEL) > 0) & (F.col("flags").bitwiseAND(F.lit(sum(DIRICHLET_CELL))) != 0)).select(LEVEL, *KEY), CORNERS[1:])
+    own = every.where(F.col(LEVEL) == 0).select(LEVEL, *KEY)
+    return with_block(own.union(active).union(fixed), size).select(LEVEL, "bi", "bj", "bk").distinct()
+
+
+def hierarchy_band(nodes: DataFrame, passes: int = 3) -> DataFrame:
+    """(level, i, j, k): nodes of all levels within ``passes`` steps of a fixed node, over nodes that aren't fixed."""
+    fixed_bits = has(F.col("flags"), sum(DIRICHLET_NODE))
+    key = [LEVEL, *KEY]
+    free = checkpoint(nodes.where(~fixed_bits).select(*key))
+    band = nodes.where(fixed_bits).select(*key)
+    for _ in range(passes):
+        band = shifted(band, AROUND).select(*key).distinct().join(free, key, "left_semi")
+    return band
+
+
 def value_check(df: DataFrame, value: str) -> DataFrame:
     """One row: number of values, of NaNs, of infinities, and the least and largest of the others but 0."""
     v = F.col(value)

@@ -17,10 +17,35 @@ def region(spark: SparkSession, low: Box, high: Box) -> DataFrame:
     """All integer points of the half-open box."""
     n = [max(0, b - a) for a, b in zip(low, high, strict=True)]
     at = spark.range(n[0] * n[1] * n[2])
-    i, j, k = F.floor(F.col("id") / F.lit(max(1, n[1] * n[2]))), F.floor(F.col("id") / F.lit(max(1, n[2]))) % max(1, n[1]), F.col("id") % max(1, n[2])
+    n = [max(1, x) for x in n]
+    i, j, k = F.expr(f"id div {n[1] * n[2]}"), F.expr(f"id div {n[2]} % {n[1]}"), F.col("id") % n[2]
     return at.select(*((c + F.lit(a)).cast("int").alias(name) for c, a, name in zip((i, j, k), low, KEY, strict=True)))
 
 
+def refined(blocks: DataFrame, low: Box, high: Box, sdf: Sdf, dx: float, side: int) -> DataFrame:
+    """Of the blocks (by their least cell) of cells ``side`` long those that can hold a cell of the domain.
+
+    The domain's value at a block's centre, less what it can change on the way to a cell's centre, bounds all its cells.
+    """
+    value = sdf(*(to_position(F.col(c) + side / 2, dx) for c in KEY))
+    margin = sdf.steep * 3**0.5 * (side - 1) / 2 * dx
+    met = [(F.col(c) < b) & (F.col(c) + side > a) for c, a, b in zip(KEY, low, high, strict=True)]
+    return blocks.where(met[0] & met[1] & met[2] & (value - margin <= 2 * EDGE))
+
+
+def candidates(spark: SparkSession, low: Box, high: Box, sdf: Sdf, dx: float, sides: tuple[int, ...] = (64, 16, 4)) -> DataFrame:
+    """The cells of the box in blocks that can hold a cell of the domain, from coarse blocks to fine ones; one stage without a shuffle."""
+    first = sides[0]
+    blocks = region(spark, tuple(a // first for a in low), tuple(-(-b // first) for b in high))
+    blocks = blocks.select(*((F.col(c) * first).cast("int").alias(c) for c in KEY))
+    for side, step in zip(sides, (*sides[1:], 1), strict=True):
+        blocks = refined(blocks, low, high, sdf, dx, side)
+        for c in KEY:
+            blocks = blocks.withColumn(c, F.explode(F.sequence(F.col(c), F.col(c) + (side - step), F.lit(step))))
+    inside = [F.col(c).between(a, b - 1) for c, a, b in zip(KEY, low, high, strict=True)]
+    return blocks.where(inside[0] & inside[1] & inside[2])
+
+
 def populate(
     spark: SparkSession, res: Box, sdf: Sdf, bounding_box: tuple[tuple[float, ...], tuple[float, ...]] | None = None, mirror: str = "", density: float | Column = 0.1
 ) -> DataFrame:
@@ -34,7 +59,8 @@ def populate(
     if bounding_box:
         low = tuple(max(a, int((p + 0.5) / dx) + PADDING) for a, p in zip(low, bounding_box[0], strict=True))
         high = tuple(min(a, int((p + 0.5) / dx) + PADDING) for a, p in zip(high, bounding_box[1], strict=True))
-    cells = region(spark, low, high)
+    # a distance function is asked block by block first, any other one at every cell
+    cells = candidates(spark, low, high, sdf, dx) if getattr(sdf, "steep", None) else region(spark, low, high)
     cells = cells.where(sdf(*(to_position(F.col(c) + 0.5, dx) for c in KEY)) <= EDGE).withColumn("mirror_axes", F.lit(""))
     for axis in mirror:
         cells = mirror_clip(cells, axis, res["xyz".index(axis)] // 2 + PADDING)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions import grid, sdf
-from voxmill.functions.grid import KEY
-from voxmill.operators import components, conditions, optimize, predicates, region, search, stencil
+from voxmill.functions.grid import CORNERS, KEY
+from voxmill.operators import components, conditions, optimize, predicates, region, search, stencil, texture
 from voxmill.plans.queries import BLOCKS, DX, NODES, OFF8, ORACLE_SQL, QUERIES, THIN, V, field, offsets_sql, query, r6
+from voxmill.session import checkpoint
 from voxmill.sources import snapshots
 
 NO_FORCE = "CAST(0 AS DOUBLE)"
@@ -206,9 +207,98 @@ for _name in ("q01_voxelize", "q08_boundary_band", "q13_thin_blocks", "q14_dense
     ORACLE_SQL[_wide] = ORACLE_SQL[_name].replace(V, W)
 
 
+RUNS = """
+c AS ({cells}), g AS (
+  SELECT i, j, k, i - row_number() OVER (PARTITION BY j, k ORDER BY i) AS s FROM c
+), r AS (
+  SELECT row_number() OVER (ORDER BY min(i), j, k) AS id, j, k, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY j, k, s
+), e AS (
+  SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON abs(a.j - b.j) + abs(a.k - b.k) = 1 AND a.j BETWEEN b.j - 1 AND b.j + 1 AND a.k BETWEEN b.k - 1 AND b.k + 1 AND a.lo <= b.hi AND b.lo <= a.hi
+), l(id, c) USING KEY (id) AS (
+  SELECT id, id FROM r
+  UNION
+  SELECT e.b, min(l.c) FROM l JOIN e ON e.a = l.id JOIN recurring.l o ON o.id = e.b WHERE l.c < o.c GROUP BY e.b
+)"""
+
+
+@query(f"""WITH RECURSIVE {W}, {RUNS.format(cells="SELECT i, j, k FROM f WHERE n >= 2")}, z AS (SELECT c, CAST(sum(n) AS BIGINT) AS cells, min(CAST(lo AS BIGINT) * 1000000 + j * 1000 + k) AS first FROM l JOIN r USING (id) GROUP BY c)
+SELECT ((first // 1000000 + 1048576) * 2097152 + first % 1000000 // 1000 + 1048576) * 2097152 + first % 1000 + 1048576 AS component, cells, round(cells / CAST(sum(cells) OVER () AS DOUBLE), 6) + 0.0 AS fraction FROM z""")
 def w25_components(spark, sf_dir):
-    """Sizes of the components of the cells with two items or more; a recursive SQL is too slow on all of them."""
+    """Sizes of the components of the cells with two items or more. The SQL labels runs of cells along an axis."""
     return r6(components.sizes(components.face_components(wide_field(spark, sf_dir).where("n >= 2"))), "fraction")
 
 
-QUERIES["w25_components"] = w25_components
+# A texture of 51 x 11 x 9 points, seen from the field that grows: its axes from 0 to 1 are parts, quarters and quantities.
+RES, EXTENT = (51, 11, 9), (1000.0, 28.0, 11.0)
+
+
+def _place(c: str, n: int, extent: float, half: str) -> str:
+    return f"least(greatest(({c} + {half}) / {extent!r} * {n} - 0.5, 0.0), {n - 1}.0)"
+
+
+def _sampled(cells: str, half: str) -> str:
+    place = ", ".join(f"{_place(c, n, e, half)} AS p{c}" for c, n, e in zip(KEY, RES, EXTENT, strict=True))
+    total = " + ".join("(" + " * ".join(f"(p{c} - floor(p{c}))" if x else f"(1 - (p{c} - floor(p{c})))" for c, x in zip(KEY, o, strict=True)) + f") * coalesce(t{n}.density, 0)" for n, o in enumerate(CORNERS))
+    joins = " ".join(f"LEFT JOIN f t{n} ON t{n}.i = floor(pi) + {o[0]} AND t{n}.j = floor(pj) + {o[1]} AND t{n}.k = floor(pk) + {o[2]}" for n, o in enumerate(CORNERS))
+    return f"p AS (SELECT i, j, k, {place} FROM ({cells})), s AS (SELECT p.i, p.j, p.k, {total} AS value FROM p {joins})"
+
+
+W_CELLS = "SELECT CAST(l_partkey // 20 AS INT) AS i, CAST((year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) - 1 AS INT) AS j, CAST(floor(l_quantity / 5) AS INT) AS k FROM lineitem WHERE l_partkey IS NOT NULL AND l_shipdate IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1, 2, 3"
+
+
+def _at(half: float) -> tuple:
+    return tuple((F.col(c) + half) / e for c, e in zip(KEY, EXTENT, strict=True))
+
+
+@query(f"WITH {V}, {_sampled(W_CELLS, '0.5')} SELECT i, j, k, round(value, 6) + 0.0 AS sampled, round(value, 6) >= 0.2 AS inside FROM s")
+def w65_texture(spark, sf_dir):
+    """The stored field's value at the centre of each cell of the field that grows, and whether its domain holds the cell."""
+    found = r6(texture.sample(wide_field(spark, sf_dir).select(*KEY), field(spark, sf_dir), RES, _at(0.5)), "sampled")
+    return found.withColumn("inside", texture.inside(level=0.2, edge=0.0))
+
+
+@query(f"WITH {V}, {OFF8}, {_sampled(f'SELECT DISTINCT i + x AS i, j + y AS j, k + z AS k FROM ({W_CELLS}) CROSS JOIN o', '0.0')} SELECT i, j, k, CAST(0 AS DOUBLE) AS fx, CAST(-2 AS DOUBLE) AS fy, CAST(0.5 AS DOUBLE) AS fz FROM s WHERE round(value, 6) > 0.2")
+def w66_texture_load(spark, sf_dir):
+    """The volume load on all nodes that lie inside a texture."""
+    found = r6(texture.sample(region.nodes_of(wide_field(spark, sf_dir)), field(spark, sf_dir), RES, _at(0.0)), "sampled")
+    return conditions.volume_load(found, (0.0, -2.0, 0.5), F.col("sampled") > 0.2)
+
+
+def _some_fixed(cells: DataFrame) -> DataFrame:
+    """Active cells, some of them fixed along an axis, a few fixed only."""
+    bit = lambda c, b: F.when(c, b).otherwise(0).cast("long")
+    flags = bit(F.col("n") > 1, grid.ACTIVE_CELL).bitwiseOR(bit(F.expr("pmod(i * 7 + j * 3 + k, 97) = 0"), grid.DIRICHLET_CELL[0])).bitwiseOR(bit(F.expr("pmod(i + j * 5 + k * 11, 89) = 0"), grid.DIRICHLET_CELL[2])).bitwiseOR(F.lit(1).cast("long"))
+    return cells.withColumn("flags", flags)
+
+
+LEVELS = f"""
+c AS (SELECT i, j, k, CAST((CASE WHEN n > 1 THEN 256 ELSE 0 END) | (CASE WHEN (i * 7 + j * 3 + k) % 97 = 0 THEN 512 ELSE 0 END) | (CASE WHEN (i + j * 5 + k * 11) % 89 = 0 THEN 2048 ELSE 0 END) | 1 AS BIGINT) AS flags FROM f
+), h AS (
+  SELECT CAST(l AS INT) AS level, CAST(floor((i - 4) / pow(2, l)) + 4 AS INT) AS i, CAST(floor((j - 4) / pow(2, l)) + 4 AS INT) AS j, CAST(floor((k - 4) / pow(2, l)) + 4 AS INT) AS k,
+    bit_or(CASE WHEN l = 0 THEN flags ELSE flags & 3840 END) AS flags
+  FROM c, range(4) r(l) WHERE l = 0 OR flags & 3840 <> 0 GROUP BY 1, 2, 3, 4
+), {OFF8}, {offsets_sql("a27", grid.AROUND)}, hn AS (
+  SELECT level, i + x AS i, j + y AS j, k + z AS k, bit_or(flags >> 4) AS flags FROM h CROSS JOIN o GROUP BY 1, 2, 3, 4
+)"""
+BAND = ", ".join(
+    f"m{n} AS MATERIALIZED (SELECT DISTINCT level, i + x AS i, j + y AS j, k + z AS k FROM {'hn' if n == 1 else f'b{n - 1}'} CROSS JOIN a27{' WHERE flags & 224 <> 0' if n == 1 else ''}), "
+    f"b{n} AS MATERIALIZED (SELECT level, i, j, k FROM hn SEMI JOIN m{n} USING (level, i, j, k) WHERE flags & 224 = 0)"
+    for n in (1, 2)
+)
+
+
+@query(f"WITH {W}, {LEVELS}, {BAND} SELECT hn.level, hn.i, hn.j, hn.k, hn.flags, b2.level IS NOT NULL AS band FROM hn LEFT JOIN b2 ON b2.level = hn.level AND b2.i = hn.i AND b2.j = hn.j AND b2.k = hn.k")
+def w67_hierarchy_nodes(spark, sf_dir):
+    """Node flags and boundary band of four levels at once."""
+    nodes = checkpoint(predicates.hierarchy_nodes(predicates.hierarchy(_some_fixed(wide_field(spark, sf_dir)), 4)))
+    band = predicates.hierarchy_band(nodes, 2).withColumn("band", F.lit(True))
+    return nodes.join(band, ["level", *KEY], "left").withColumn("band", F.coalesce("band", F.lit(False)))
+
+
+@query(f"""WITH {W}, {LEVELS}, q AS (
+  SELECT level, i, j, k FROM h WHERE level = 0 UNION ALL SELECT level, i + x, j + y, k + z FROM h CROSS JOIN o WHERE level > 0 AND flags & 256 <> 0
+  UNION ALL SELECT level, i + x, j + y, k + z FROM h CROSS JOIN o WHERE level > 0 AND flags & 3584 <> 0 AND x + y + z > 0
+) SELECT DISTINCT level, CAST(floor(i / 4.0) AS INT) AS bi, CAST(floor(j / 4.0) AS INT) AS bj, CAST(floor(k / 4.0) AS INT) AS bk FROM q""")
+def w68_hierarchy_blocks(spark, sf_dir):
+    """The blocks of four levels, with upper neighbours."""
+    return predicates.hierarchy_blocks(predicates.hierarchy(_some_fixed(wide_field(spark, sf_dir)), 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.functions.grid import FIXED_DENSITY, KEY, to_index, to_position
+from voxmill.functions.grid import FIXED_DENSITY, KEY, PADDING, to_position
 from voxmill.operators.search import ranked
 
 CORNER = ["ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"]
@@ -31,19 +31,45 @@ def corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return t.select("fid", *CORNER)
 
 
-def candidate_cells(tri: DataFrame, cells: DataFrame, dx: float, reach: float) -> DataFrame:
-    """Triangles with the cells of their bounding box, widened by ``reach``: an equi-join on the cells' keys.
+def _boxed(tri: DataFrame, dx: float, reach: float, axes: str) -> DataFrame:
+    """Adds the least and largest index lo_, hi_ of each triangle's box widened by ``reach``, one to spare, and its level: the box is no longer than 2^level."""
+    out = tri
+    for c in axes:
+        low, high = F.least(*(f"{p}{c}" for p in "abc")) - reach, F.greatest(*(f"{p}{c}" for p in "abc")) + reach
+        at = lambda p: (F.floor((p + 0.5) / F.lit(dx)) + PADDING).cast("long")
+        out = out.withColumns({f"lo_{c}": at(low) - 1, f"hi_{c}": at(high) + 1})
+    longest = F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1 for c in axes), F.lit(1))
+    return out.withColumn("level", F.ceil(F.log2(longest.cast("double"))).cast("int"))
+
+
+def binned(tri: DataFrame, dx: float, reach: float = 0.0, axes: str = "xyz") -> DataFrame:
+    """The triangles of ``_boxed`` once for every bin of their own level that their box meets: two along an axis at most, whatever their size."""
+    out = _boxed(tri, dx, reach, axes)
+    for c in axes:
+        out = out.withColumn(f"bin_{c}", F.explode(F.sequence(F.expr(f"shiftright(lo_{c}, level)"), F.expr(f"shiftright(hi_{c}, level)"))))
+    return out
 
-    A triangle makes a row for every cell of its box, so meshes should be about as fine as the grid.
+
+def candidates(tri: DataFrame, cells: DataFrame, dx: float, reach: float = 0.0, axes: str = "xyz") -> DataFrame:
+    """Triangles with the cells in their boxes, widened by ``reach``: an equi-join on bins of many levels.
+
+    Each triangle is filed under a few bins about as large as itself, each cell under
+    the one bin it lies in of every level that some triangle has.
     """
-    ranges = []
-    for c in "xyz":
-        low, high = F.least(*(f"{p}{c}" for p in "abc")) - reach, F.greatest(*(f"{p}{c}" for p in "abc")) + reach
-        ranges.append(F.sequence(to_index(low, dx) - 1, to_index(high, dx) + 1))
-    t = tri
-    for k, r in zip(KEY, ranges, strict=True):
-        t = t.withColumn(k, F.explode(r))
-    return t.join(cells, KEY).withColumns({f"p{c}": to_position(F.col(k) + 0.5, dx) for c, k in zip("xyz", KEY, strict=True)})
+    tri = binned(tri, dx, reach, axes)
+    levels = sorted(r[0] for r in tri.select("level").distinct().limit(64).collect())  # one for each bit of an index at most
+    own = cells.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<int>)")))
+    keys = dict(zip("xyz", KEY, strict=True))
+    own = own.withColumns({f"bin_{c}": F.expr(f"shiftright(cast({keys[c]} as long), level)") for c in axes})
+    near = tri.join(own, ["level", *(f"bin_{c}" for c in axes)])
+    for c in axes:
+        near = near.where(F.col(keys[c]).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")))
+    return near.drop("level", *(f"{n}_{c}" for n in ("lo", "hi", "bin") for c in axes))
+
+
+def candidate_cells(tri: DataFrame, cells: DataFrame, dx: float, reach: float, centre: float = 0.5) -> DataFrame:
+    """``candidates`` with the position px, py, pz of each cell: of its centre, or of its first node with ``centre`` 0."""
+    return candidates(tri, cells, dx, reach).withColumns({f"p{c}": to_position(F.col(k) + centre, dx) for c, k in zip("xyz", KEY, strict=True)})
 
 
 def _v(p: str) -> list[Column]:
@@ -85,16 +111,34 @@ def distance() -> Column:
     return F.when(inside & (_dot(n, n) > 0), plane).otherwise(F.least(*edges))
 
 
-def normal_force(tri: DataFrame, cells: DataFrame, dx: float, reach: float, strength: float = 1.0, centre: tuple[float, float, float] | None = None, falloff: float = 1.0) -> DataFrame:
-    """(i, j, k, fx, fy, fz): against the summed normals of all triangles within reach of a cell, falling off from a centre."""
-    near = candidate_cells(tri, cells.select(*KEY), dx, reach).where(distance() <= reach)
-    n = near.select(*KEY, *(c.alias(f"n{x}") for c, x in zip(normal(), "xyz", strict=True))).groupBy(*KEY).agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in "xyz"))
-    size = F.sqrt(sum((F.col(f"n{x}") * F.col(f"n{x}") for x in "yz"), F.col("nx") * F.col("nx")))
+def normal_force(
+    tri: DataFrame, cells: DataFrame, dx: float, reach: float, strength: float = 1.0, centre: tuple[float, float, float] | None = None, falloff: float = 1.0,
+    override: tuple[float, float, float] | None = None, no_z: bool = False, wing: bool = False,
+) -> DataFrame:
+    """(i, j, k, fx, fy, fz): along the summed normals of all triangles within reach of a node that begins a cell.
+
+    The force falls off linearly from a centre; where nothing of it is left there is no
+    row. ``override`` stands for every direction, ``no_z`` leaves out directions along the third
+    axis. A wing has a law of its own instead of a strength: against the direction, by its
+    second part on the upper surface, by 0.4 through it on the lower one, none at the edges.
+    """
+    near = candidate_cells(tri, cells.select(*KEY), dx, reach, centre=0.0).where(distance() <= reach)
     weight = F.lit(1.0)
     if centre:
-        d = [to_position(F.col(k) + 0.5, dx) - c for k, c in zip(KEY, centre, strict=True)]
+        d = [to_position(F.col(k), dx) - c for k, c in zip(KEY, centre, strict=True)]
         weight = F.greatest(F.lit(0.0), 1 - F.sqrt(_dot(d, d)) / falloff)
-    return n.where(size > 0).select(*KEY, *((-F.col(f"n{x}") / size * strength * weight).alias(f"f{x}") for x in "xyz"))
+    n = near.select(*KEY, *(c.alias(f"n{x}") for c, x in zip(normal(), "xyz", strict=True))).groupBy(*KEY).agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in "xyz"))
+    square = _dot(_v("n"), _v("n"))
+    n = n.withColumn("weight", weight).where((F.col("weight") > 0) & (square >= 1e-6))
+    unit = [F.lit(float(x)) for x in override] if override and any(override) else [x / F.sqrt(square) for x in _v("n")]
+    n = n.select(*KEY, "weight", *(x.alias(f"n{c}") for x, c in zip(unit, "xyz", strict=True)))
+    if wing:
+        share = F.when(F.col("ny") > 0, -F.col("ny")).otherwise(-0.4 / F.col("ny"))
+        n = n.where(F.abs("ny") > 0.05)
+    else:
+        share = F.lit(float(strength))
+        n = n.where(F.abs("nz") < 0.99) if no_z else n
+    return n.select(*KEY, *((x * share * F.col("weight")).alias(f"f{c}") for x, c in zip(_v("n"), "xyz", strict=True)))
 
 
 def shell(tri: DataFrame, cells: DataFrame, dx: float, reach: float) -> DataFrame:
@@ -106,11 +150,9 @@ def shell(tri: DataFrame, cells: DataFrame, dx: float, reach: float) -> DataFram
 def inside(tri: DataFrame, cells: DataFrame, dx: float) -> DataFrame:
     """The cells whose centre lies inside the closed mesh: an odd number of triangles above it."""
     flat = tri.withColumns({"low": F.least("az", "bz", "cz"), "high": F.greatest("az", "bz", "cz")})
-    for k, c in (("i", "x"), ("j", "y")):
-        flat = flat.withColumn(k, F.explode(F.sequence(to_index(F.least(*(f"{p}{c}" for p in "abc")), dx) - 1, to_index(F.greatest(*(f"{p}{c}" for p in "abc")), dx) + 1)))
     # a hair off the centre, so that no edge of a triangle is met
     columns = cells.select("i", "j").distinct().withColumns({"px": to_position(F.col("i") + 0.5, dx) + dx * 1.1e-7, "py": to_position(F.col("j") + 0.5, dx) + dx * 2.3e-7})
-    hit = flat.join(columns, ["i", "j"])
+    hit = candidates(flat, columns, dx, axes="xy")
     x, y = F.col("px"), F.col("py")
     area = lambda a, b: (F.col(f"{b}x") - F.col(f"{a}x")) * (y - F.col(f"{a}y")) - (F.col(f"{b}y") - F.col(f"{a}y")) * (x - F.col(f"{a}x"))
     w = {"c": area("a", "b"), "a": area("b", "c"), "b": area("c", "a")}
