@@ -324,6 +324,39 @@ def test_patience_alignment():
         assert all(x < y for p, q in zip(found, found[1:], strict=False) for x, y in zip(p, q, strict=True))
 
 
+def plain_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [5, 1 << 26])
+def test_parts_without_lines_that_occur_once_are_aligned(monkeypatch, cells):
+    monkeypatch.setattr(lines, "CELLS", cells)
+    assert lines.patience([1, 5, 5, 2], [3, 5, 5, 4]) == [(1, 1), (2, 2)]
+    assert lines.patience([1, 5, 6, 5, 6, 2], [3, 5, 6, 5, 6, 4]) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    rng = random.Random(6)
+    for _ in range(80):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        found = sorted(lines.subsequence(a, b))
+        assert len(found) == plain_subsequence(a, b) and all(a[i] == b[j] for i, j in found)
+        assert all(x < y for p, q in zip(found, found[1:], strict=False) for x, y in zip(p, q, strict=True))
+
+
+def test_lines_that_stand_twice_and_thrice_are_deleted(spark, monkeypatch):
+    line = "this line is long enough and stands again and again here"
+    rows = [(i, "\n".join([f"the beginning of document {i} is its own", *[line] * 2, f"the end of document {i} is its own"]), "a") for i in range(300)]
+    rows += [(400 + i, "\n".join(f"{w} {i} of this document" if w else "thrice: " + line for w in ("one", None, "two", None, "three", None, "four")), "a") for i in range(40)]
+    aligned, align = [], lines._align
+    monkeypatch.setattr(lines, "_align", lambda pairs, *rest: aligned.append(pairs.count()) or align(pairs, *rest))
+    out = {r.doc_id: r for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert out[0].deleted_lines == 0 and all(out[i].deleted_lines == 2 and line not in out[i].text for i in range(1, 300))
+    assert out[400].deleted_lines == 0 and all(out[400 + i].deleted_lines == 3 for i in range(1, 40))
+    assert sum(aligned) < 4 * len(rows)
+
+
 def test_line_dedup_deletes_from_the_later_document(spark, hard):
     docs = frame(spark, hard)
     out = lines.dedup_lines(docs).collect()

@@ -24,13 +24,61 @@ from voxmill.session import checkpoint
 
 RARE = 4
 MIN_CHARS = 40
+CELLS = 1 << 26  # bits of a table of common subsequences that are held at a time
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of a, b's places as bits: 0 where the longest common subsequence with b's lines up to it grows."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & at.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of a with the first 0, 1, ... lines of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):  # noqa: B007  the last one counts
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence as positions (in a, in b). Long parts are halved first, so memory stays bounded."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        x, y = a[a0:a1], b[b0:b1]
+        if not x or not y:
+            continue
+        if len(x) > 1 and len(x) * len(y) > CELLS:
+            half = len(x) // 2
+            cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(a0, a0 + half, b0, b0 + cut), (a0 + half, a1, b0 + cut, b1)]
+            continue
+        rows, i, j = list(_rows(x, y)), len(x), len(y)
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((a0 + i, b0 + j))
+            elif rows[i - 1] >> j - 1 & 1:
+                j -= 1
+            else:
+                i -= 1
+    return out
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions (in a, in b) of equal lines, both ascending.
 
     Common starts and ends are aligned first; then the lines that occur once in
-    either part, in their longest common order; then what lies between them.
+    either part, in their longest common order; then what lies between them. A part
+    in which no common line occurs once is aligned by a longest common subsequence.
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -64,6 +112,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             end = (i, j)
         if chain:
             todo.append((a0, end[0], b0, end[1]))
+        else:
+            common = [[k for k in range(lo, hi) if x[k] in other] for x, lo, hi, other in ((a, a0, a1, in_b), (b, b0, b1, in_a))]
+            out += [(common[0][i], common[1][j]) for i, j in subsequence(*([x[k] for k in own] for x, own in zip((a, b), common, strict=True)))]
     return sorted(out)
 
 
