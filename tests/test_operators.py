@@ -300,6 +300,88 @@ def test_bisection_visits_the_same_middles(spark):
     assert search.cut(df, t).agg(F.sum("density")).first()[0] == 30
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_thresholds_and_multipliers_equal_bisections(spark, seed):
+    rng = np.random.default_rng(seed)
+    d = np.round(rng.random(400), seed + 1) if seed else rng.integers(0, 2, 400).astype(float)
+    df = spark.createDataFrame([(float(x),) for x in d], "density double")
+    for target in (0, 1, 30, 399, 400, 1000):
+        low, high = 0.0, 1.0
+        while high - low > 1e-8:
+            m = (low + high) / 2
+            low, high = (m, high) if (d >= m).sum() > target else (low, m)
+        assert search.threshold_for_volume(df, target) == high, target
+    d, dc = rng.random(300), -rng.exponential(3, 300) * (rng.random(300) < 0.9)
+    cells = spark.createDataFrame([(n, 0, 0, float(x), float(y)) for n, (x, y) in enumerate(zip(d, dc, strict=True))], "i int, j int, k int, density double, dc0 double")
+
+    def new(m):
+        return np.clip(np.clip(d * np.sqrt(np.maximum(0, -dc) / m), d - 0.2, d + 0.2), 0.01, 1)
+
+    for target in (1.0, 120.0, 150.0, 190.0, 290.0):
+        low, high = 1e-20, 1e20
+        while low * (1 + 1e-9) < high:
+            m = (low * high) ** 0.5
+            low, high = (m, high) if new(m).sum() > target else (low, m)
+        out, multiplier = optimize.oc_step(cells, target, optimize.Settings(minimum_density=0.01))
+        assert multiplier == pytest.approx(high, rel=1e-7)
+        assert [r.density for r in out.orderBy("i").collect()] == pytest.approx(new(high), abs=1e-7)
+
+
+def test_iteration_table(spark, tmp_path):
+    blocks = spark.range(40).select(F.col("id").cast("int").alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("bk"), (F.col("id") < 10).alias("thin"))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("iterations"))
+    objectives = [10.0, 8.0, 7.0, 6.9, 6.89, 6.89]
+    spark.sparkContext.setJobGroup("iterations", "")
+    for n, o in enumerate(objectives):
+        row = snapshots.record_iteration(str(tmp_path), "blocks", blocks, n, {"n_container": F.count("*"), "n_thin": F.count_if("thin")}, {"objective": o})
+        assert row == {"objective": o, "n_container": 40, "n_thin": 10}
+    assert jobs() == 2 * len(objectives)  # a write each, none for the counts
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    snapshots.record_iteration(str(tmp_path), "blocks", blocks.limit(7), 5, {"n_container": F.count("*"), "n_thin": F.count_if("thin")}, {"objective": 6.89})
+    table = snapshots.iterations(spark, str(tmp_path))
+    assert [tuple(r) for r in table.orderBy("iter").select("iter", "objective", "n_container", "n_thin").collect()][-2:] == [(4, 6.89, 40, 10), (5, 6.89, 7, 7)]
+    got = snapshots.convergence(table, after=4).orderBy("iter").collect()
+    want = [abs((a + b - c - d) / (a + b)) for d, c, b, a in zip(objectives, objectives[1:], objectives[2:], objectives[3:])]
+    assert [r.ratio for r in got[3:]] == pytest.approx(want) and got[2].ratio is None
+    assert [r.converged for r in got] == [n >= 3 and optimize.converged(objectives[: n + 1], after=4) for n in range(6)]
+
+
+def test_blocks_that_have_not_changed_are_not_stored_again(spark, tmp_path):
+    path = str(tmp_path / "state")
+    states = [{k: 0.5 for k in product(range(12), range(8), range(4))}]
+    states.append({k: v for k, v in states[0].items()} | {(0, 0, 0): 0.75, (20, 0, 0): 1.0})
+    states.append({k: v for k, v in states[1].items() if k[0] >= 4})  # two blocks go
+    states.append(states[2] | {(0, 0, 1): 0.25})  # one comes again with another cell
+    for n, state in enumerate(states):
+        df = spark.createDataFrame([(*k, v) for k, v in state.items()], "i int, j int, k int, density double")
+        snapshots.save_blocks(path, df, n, first=n == 0)
+    read = lambda n: {(r.i, r.j, r.k): r.density for r in snapshots.load_blocks(spark, path, n).collect()}
+    assert [read(n) for n in range(4)] == states and read(None) == states[3]
+    stored = {r["iter"]: r["count"] for r in spark.read.parquet(f"{path}/cells").groupBy("iter").count().collect()}
+    assert stored == {0: 384, 1: 65, 3: 1}
+
+
+def test_small_parts_of_the_inventory(spark, tmp_path):
+    """Text dumps, bounding boxes, initial densities, continuation and overrides."""
+    c = cells_of(spark, BOX)
+    snapshots.as_text(c, str(tmp_path / "text"))
+    import json
+
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "text")).collect()]
+    assert {(x["i"], x["j"], x["k"]) for x in lines} == set(BOX) and {x["density"] for x in lines} == {1.0}
+    for n in (1, 2, 2):
+        snapshots.append_iteration(str(tmp_path / "series"), c.limit(n), n)
+    assert {r["iter"]: r["count"] for r in spark.read.parquet(str(tmp_path / "series")).groupBy("iter").count().collect()} == {1: 1, 2: 2}
+    boxed = region.populate(spark, (10, 10, 10), sdf.dense(), ((-0.19, -0.5, -0.5), (0.11, 0.0, 0.5)), density=0.3)
+    assert keys(boxed) == set(product(range(11, 14), range(8, 13), range(8, 18))) and {r.density for r in boxed.collect()} == {0.3}
+    s = optimize.Settings(progressive_vol_frac=10, volume_fraction=0.5, minimum_density=0.01)
+    assert [optimize.volume_fraction(s, n) for n in (0, 5, 10, 20)] == [1.0, 0.75, 0.5, 0.5]
+    changed = s.override(volume_fraction=0.2)
+    assert changed.volume_fraction == 0.2 and s.volume_fraction == 0.5
+    with pytest.raises(ValueError):
+        s.override(volume_fraction=0.001)
+
+
 def dense_matrix(cell_keys, scale, mu, lam):
     nodes = sorted({tuple(np.add(c, o)) for c in cell_keys for o in grid.CORNERS})
     at, e = {n: i for i, n in enumerate(nodes)}, elasticity.element_matrix(mu, lam)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxmill.functions.grid import FIXED_DENSITY, KEY, clamp, has
 from voxmill.operators.elasticity import compliance, lame, stiffness
 from voxmill.operators.krylov import solve
-from voxmill.operators.search import bisect
+from voxmill.operators.search import rising_root
 from voxmill.operators.stencil import smooth
 from voxmill.session import checkpoint
 
@@ -78,9 +78,13 @@ def oc_step(cells: DataFrame, target: float, s: Settings | None = None, shift: f
     """
     s = s or Settings()
     fixed = has(F.col("flags"), FIXED_DENSITY) if "flags" in cells.columns else F.lit(False)
-    new = lambda m: updated(F.col("density"), F.col("dc0"), m, s.step_limit, s.minimum_density, shift)
-    low, high = bisect(cells, lambda m: F.sum(F.when(~fixed, new(m))), target, 1e-20, 1e20, lambda a, b: a * (1 + 1e-7) >= b)
-    return cells.withColumn("density", F.when(fixed, s.fixed_cell_density).otherwise(new(F.lit(high)))), high
+    d = F.col("density")
+    bound = lambda x: clamp(x, s.minimum_density, 1.0)
+    rise = d * F.sqrt(F.greatest(F.lit(0.0), -F.col("dc0") - min(0.0, shift)))  # of a density with 1 / sqrt(multiplier)
+    root = rising_root(cells.where(~fixed), rise, bound(d - s.step_limit), bound(d + s.step_limit), target, 1e-10, 1e10)
+    multiplier = 1 / root**2
+    new = updated(d, F.col("dc0"), F.lit(multiplier), s.step_limit, s.minimum_density, shift)
+    return cells.withColumn("density", F.when(fixed, s.fixed_cell_density).otherwise(new)), multiplier
 
 
 def iterate(cells: DataFrame, forces: DataFrame, fixed: DataFrame, dx: float, iteration: int, s: Settings) -> tuple[DataFrame, dict]:

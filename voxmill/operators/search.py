@@ -1,8 +1,8 @@
-"""Bisections whose next levels are evaluated in one job."""
+"""Thresholds and multipliers from counted and summed ranges, and places in a whole order."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,34 +10,6 @@ from pyspark.sql import functions as F
 from voxmill.session import checkpoint
 
 
-def bisect(df: DataFrame, total: Callable[[Column], Column], target: float, low: float, high: float, done: Callable[[float, float], bool], levels: int = 5) -> tuple[float, float]:
-    """Narrows [low, high]: above the target the middle becomes the low end, else the high end.
-
-    ``total(x)`` is an aggregate of ``df`` that falls with x. One job computes it for
-    all middles that the next ``levels`` steps could visit.
-    """
-    df = checkpoint(df)
-    while not done(low, high):
-        middles: list[float] = []
-
-        def plan(a: float, b: float, depth: int) -> None:
-            if depth and not done(a, b):
-                m = (a + b) / 2
-                middles.append(m)
-                plan(m, b, depth - 1)
-                plan(a, m, depth - 1)
-
-        plan(low, high, levels)
-        row = df.agg(*(total(F.lit(m)).alias(f"t{n}") for n, m in enumerate(middles))).first()
-        value = dict(zip(middles, row, strict=True))
-        for _ in range(levels):
-            if done(low, high):
-                break
-            m = (low + high) / 2
-            low, high = (m, high) if (value[m] or 0) > target else (low, m)
-    return low, high
-
-
 def ranked(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
     """The rows with their place, from 0, in the order of all of them.
 
@@ -57,9 +29,67 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "place") -> DataFram
 
 
 def threshold_for_volume(cells: DataFrame, target: float, value: str = "density", tolerance: float = 1e-8) -> float:
-    """The least threshold (to the tolerance) that leaves at most ``target`` cells."""
-    d = F.col(value)
-    return bisect(cells, lambda t: F.count_if(d >= t), target, 0.0, 1.0, lambda a, b: b - a <= tolerance)[1]
+    """The least threshold of a grid from 0 to 1, no coarser than the tolerance, that leaves at most ``target`` cells.
+
+    Two counts by grid place: of the upper half of its bits, then of the lower half where the target is passed.
+    """
+    bits = ceil(log2(1 / tolerance))
+    low, top = bits - bits // 2, 1 << bits
+    keys = cells.select(F.least(F.floor(F.col(value) * float(top)), F.lit(top)).alias("k")).where("k > 0")
+    above, answer = 0, 0
+    for shift in (low, 0):
+        part = keys if shift else keys.where(F.shiftright("k", low) == answer)
+        counts = part.groupBy(F.shiftright("k", shift).alias("b")).count().collect()  # a row for each place: 2^14 or so at most
+        for b, n in sorted(counts, reverse=True):
+            if above + n > target:
+                answer = b
+                break
+            above += n
+        else:
+            return 1 / top
+    return min((answer + 1) / top, 1.0)
+
+
+def rising_root(df: DataFrame, slope: Column, low: Column, high: Column, target: float, start: float, stop: float, places: int = 4096) -> float:
+    """The t from start to stop at which the sum of slope * t, held between low and high in each row, reaches the target.
+
+    A row's part is constant, rises between two values of t and is constant again.
+    These values are summed by ranges of t, so the sum is known at the ranges' ends;
+    the range that the target lies in is cut again twice, which leaves a straight piece.
+    """
+    rises = F.when(slope > 0, slope)
+    event = lambda t, k, s: F.struct(t.cast("double").alias("t"), k.cast("double").alias("k"), s.cast("double").alias("s"))
+    events = F.array(event(F.lit(0.0), low, F.lit(0.0)), event(low / rises, -low, rises), event(high / rises, high, -rises))
+    events = df.select(F.explode(events).alias("e")).select("e.*").where("t is not null and k is not null")
+    k, s, ends = 0.0, 0.0, None
+    for cut in range(3):
+        if ends is None:
+            many = ceil(log2(stop / start) * 64)
+            ends = [start * (stop / start) ** (n / many) for n in range(many + 1)]
+            place = F.when(F.col("t") <= start, -1).otherwise(F.floor(F.log2(F.col("t") / start) * (many / log2(stop / start))))
+        else:
+            a, b = ends
+            many = places
+            ends = [a + (b - a) * n / many for n in range(many + 1)]
+            place = F.floor((F.col("t") - a) / (b - a) * many)
+            events = events.where((F.col("t") >= a) & (F.col("t") < b))
+        sums = events.groupBy(F.least(place, F.lit(many)).alias("n")).agg(F.sum("k"), F.sum("s")).collect()  # a row for each range
+        found = {n: (x, y) for n, x, y in sums}
+        k, s = (x + y for x, y in zip((k, s), found.get(-1, (0.0, 0.0)) if cut == 0 else (0.0, 0.0), strict=True))
+        if cut == 0 and k + s * start >= target:
+            return start
+        for n in range(many):
+            x, y = found.get(n, (0.0, 0.0))
+            if k + x + (s + y) * ends[n + 1] >= target:
+                break
+            k, s = k + x, s + y
+        else:
+            if cut == 0:
+                return stop
+        below, above = k + s * ends[n], k + x + (s + y) * ends[n + 1]
+        ends = [ends[n], ends[n + 1]]
+    a, b = ends
+    return a + (b - a) * (target - below) / (above - below) if above > below else b
 
 
 def cut(cells: DataFrame, threshold: float, value: str = "density", fixed: Column | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxmill.functions.grid import KEY
+from voxmill.functions.grid import BLOCK, BLOCK_KEY, KEY, with_block
+from voxmill.session import checkpoint
 
 
 def save_state(path: str, tables: dict[str, DataFrame], iteration: int, compact: bool = False) -> None:
@@ -43,3 +44,65 @@ def load_density(container: DataFrame, stored: DataFrame, penalty: float = 3.0)
 def as_text(df: DataFrame, path: str) -> None:
     """A readable dump: a JSON object a line."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def record_iteration(path: str, name: str, df: DataFrame, iteration: int, counts: dict[str, Column], values: dict[str, float] | None = None) -> dict:
+    """Writes a table's partition of an iteration and a row of the iteration table: ``values``, and aggregates gathered while the table is written.
+
+    Writing an iteration again replaces it; the row is written last, so it stands for a whole partition.
+    """
+    seen = Observation()
+    append_iteration(f"{path}/{name}", df.observe(seen, *(c.alias(k) for k, c in counts.items())), iteration)
+    row = (values or {}) | seen.get
+    spark = df.sparkSession
+    kinds = ", ".join(f"`{k}` {'long' if isinstance(v, int) else 'double'}" for k, v in row.items())
+    append_iteration(f"{path}/iterations", spark.createDataFrame([tuple(row.values())], kinds).coalesce(1), iteration)
+    return row
+
+
+def iterations(spark: SparkSession, path: str) -> DataFrame:
+    """The iteration table: a row for each iteration with its number ``iter``."""
+    return spark.read.parquet(f"{path}/iterations")
+
+
+def convergence(table: DataFrame, least: float = 5e-3, after: int = 10) -> DataFrame:
+    """(iter, ratio, converged): how much the last two objectives differ from the two before; null for the first three."""
+    w = Window.orderBy("iter")  # a row for each iteration
+    o = [F.lag("objective", n).over(w) if n else F.col("objective") for n in range(4)]
+    ratio = F.abs((o[0] + o[1] - o[2] - o[3]) / (o[0] + o[1]))
+    found = table.select("iter", ratio.alias("ratio"), F.row_number().over(w).alias("n"))
+    return found.select("iter", "ratio", F.coalesce((F.col("n") >= after) & (F.col("ratio") < least), F.lit(False)).alias("converged"))
+
+
+def _newest(spark: SparkSession, path: str, iteration: int | None) -> DataFrame:
+    """(bi, bj, bk, iter, digest): the newest version of each block up to an iteration; without a digest it is gone."""
+    seen = spark.read.parquet(f"{path}/digests")
+    seen = seen if iteration is None else seen.where(F.col("iter") <= iteration)
+    return seen.groupBy(*BLOCK_KEY).agg(F.max(F.struct("iter", "digest")).alias("v")).select(*BLOCK_KEY, "v.*")
+
+
+def save_blocks(path: str, cells: DataFrame, iteration: int, first: bool = False, size: tuple[int, int, int] = BLOCK) -> None:
+    """Stores the blocks of cells that have changed since the iterations saved before, and which ones are gone.
+
+    ``first`` begins the series. Digests of blocks tell what has changed; they are
+    written last, and cells of an iteration without digests are never read.
+    """
+    spark = cells.sparkSession
+    own = with_block(cells, size)
+    digest = F.concat_ws("/", F.count("*"), F.expr("bit_xor(_h)"))
+    now = own.withColumn("_h", F.xxhash64(*sorted(cells.columns))).groupBy(*BLOCK_KEY).agg(digest.alias("now"))
+    if first:
+        changed = now.withColumnRenamed("now", "digest")
+    else:
+        known = _newest(spark, path, iteration - 1).where("digest is not null")
+        both = now.join(known, BLOCK_KEY, "full").where(~F.col("now").eqNullSafe(F.col("digest")))
+        changed = both.select(*BLOCK_KEY, F.col("now").alias("digest"))
+    changed = checkpoint(changed)
+    append_iteration(f"{path}/cells", own.join(changed, BLOCK_KEY, "left_semi"), iteration)
+    append_iteration(f"{path}/digests", changed, iteration)
+
+
+def load_blocks(spark: SparkSession, path: str, iteration: int | None = None) -> DataFrame:
+    """The cells of all blocks as the newest iterations up to one have them."""
+    newest = _newest(spark, path, iteration).where("digest is not null").drop("digest")
+    return spark.read.parquet(f"{path}/cells").join(newest, [*BLOCK_KEY, "iter"], "left_semi").drop(*BLOCK_KEY, "iter")
