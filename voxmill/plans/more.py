@@ -201,7 +201,7 @@ def _on_wide_field(f):
     return lambda spark, sf_dir: f(spark, sf_dir, field=wide_field)
 
 
-for _name in ("q01_voxelize", "q08_boundary_band", "q13_thin_blocks", "q14_densest_blocks", "q15_fat_blocks", "q16_active_cells", "q17_weighted_smoothing", "q19_box_mean", "q24_boundary_faces"):
+for _name in ("q01_voxelize", "q04_bounds", "q05_upscale", "q06_nodes", "q07_node_flags", "q08_boundary_band", "q13_thin_blocks", "q14_densest_blocks", "q15_fat_blocks", "q16_active_cells", "q17_weighted_smoothing", "q18_laplacian", "q19_box_mean", "q20_restriction", "q21_prolongation", "q22_threshold", "q23_quantize", "q24_boundary_faces"):
     _wide = _name.replace("q", "w", 1)
     QUERIES[_wide] = _on_wide_field(QUERIES[_name])
     ORACLE_SQL[_wide] = ORACLE_SQL[_name].replace(V, W)

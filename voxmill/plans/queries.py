@@ -91,21 +91,21 @@ def q03_mirror(spark, sf_dir):
 
 
 @query(f"WITH {V} SELECT min(i) AS i_min, min(j) AS j_min, min(k) AS k_min, max(i) + 1 AS i_max, max(j) + 1 AS j_max, max(k) + 1 AS k_max, count(*) AS cells FROM f")
-def q04_bounds(spark, sf_dir):
+def q04_bounds(spark, sf_dir, field=field):
     return region.bounds(field(spark, sf_dir))
 
 
 @query(f"""
 WITH {V}, {OFF8}, fine AS (SELECT 2 * i + x AS i, 2 * j + y AS j, 2 * k + z AS k FROM f CROSS JOIN o)
 SELECT a.i, a.j, a.k, round(b.density, 6) AS value FROM fine a JOIN f b ON a.i // 2 = b.i AND a.j // 2 = b.j AND (a.k + 1) // 2 = b.k""")
-def q05_upscale(spark, sf_dir):
+def q05_upscale(spark, sf_dir, field=field):
     v = field(spark, sf_dir)
     fine = grid.shifted(v.select(*((F.col(c) * 2).alias(c) for c in KEY)), CORNERS)
     return r6(region.upscale(fine, v, (0, 0, 0), 2), "value")
 
 
 @query(f"WITH {V}, {OFF8}, {NODES} SELECT i, j, k FROM nodes")
-def q06_nodes(spark, sf_dir):
+def q06_nodes(spark, sf_dir, field=field):
     return region.nodes_of(field(spark, sf_dir))
 
 
@@ -120,7 +120,7 @@ FLAGS = "CAST(256 + CASE WHEN i % 2 = 0 THEN 512 ELSE 0 END + CASE WHEN j % 3 =
 
 
 @query(f"WITH {V}, {OFF8}, c AS (SELECT i, j, k, {FLAGS} AS flags FROM f) SELECT i + x AS i, j + y AS j, k + z AS k, bit_or(flags >> 4) AS flags FROM c CROSS JOIN o GROUP BY 1, 2, 3")
-def q07_node_flags(spark, sf_dir):
+def q07_node_flags(spark, sf_dir, field=field):
     return predicates.flag_nodes(flagged(field(spark, sf_dir)))
 
 
@@ -216,7 +216,7 @@ def q17_weighted_smoothing(spark, sf_dir, field=field):
 @query(f"""
 WITH {V}, {offsets_sql("o", FACES)}, t AS (SELECT i + x AS i, j + y AS j, k + z AS k, sum(density) AS s FROM f CROSS JOIN o GROUP BY 1, 2, 3)
 SELECT round(sqrt(sum((6 * density - coalesce(s, 0)) * (6 * density - coalesce(s, 0)))), 6) AS norm FROM f LEFT JOIN t ON f.i = t.i AND f.j = t.j AND f.k = t.k""")
-def q18_laplacian(spark, sf_dir):
+def q18_laplacian(spark, sf_dir, field=field):
     return r6(stencil.laplacian_norm(field(spark, sf_dir)), "norm")
 
 
@@ -229,7 +229,7 @@ HALVES = offsets_sql("o", grid.AROUND, [0.5 ** sum(map(abs, o)) for o in grid.AR
 
 
 @query(f"WITH {V}, {HALVES}, m AS (SELECT i + x AS i, j + y AS j, k + z AS k, w * density AS v FROM f CROSS JOIN o) SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, round(sum(v), 6) AS density FROM m WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0 GROUP BY 1, 2, 3")
-def q20_restriction(spark, sf_dir):
+def q20_restriction(spark, sf_dir, field=field):
     return r6(stencil.restrict(field(spark, sf_dir), "density"), "density")
 
 
@@ -237,20 +237,20 @@ def q20_restriction(spark, sf_dir):
 WITH {V}, {HALVES}, c AS (SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, sum(density) AS u FROM f GROUP BY 1, 2, 3
 ), t AS (SELECT 2 * i + x AS i, 2 * j + y AS j, 2 * k + z AS k, sum(w * u) AS u FROM c CROSS JOIN o GROUP BY 1, 2, 3)
 SELECT f.i, f.j, f.k, round(density + coalesce(u, 0), 6) AS u FROM f LEFT JOIN t ON f.i = t.i AND f.j = t.j AND f.k = t.k""")
-def q21_prolongation(spark, sf_dir):
+def q21_prolongation(spark, sf_dir, field=field):
     v = field(spark, sf_dir)
     coarse = v.groupBy(*(F.expr(f"{c} div 2").cast("int").alias(c) for c in KEY)).agg(F.sum("density").alias("u"))
     return r6(stencil.prolong(coarse, v.select(*KEY, F.col("density").alias("u"))), "u")
 
 
 @query(f"WITH {V}, t AS (SELECT *, count(*) OVER (ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS over FROM f) SELECT i, j, k, CASE WHEN over <= 1000 THEN 1.0 ELSE 0.0 END::DOUBLE AS density FROM t".replace("AS over", "AS upto").replace("WHEN over", "WHEN upto"))
-def q22_threshold(spark, sf_dir):
+def q22_threshold(spark, sf_dir, field=field):
     v = field(spark, sf_dir)
     return search.cut(v, search.threshold_for_volume(v, 1000)).select(*KEY, "density")
 
 
 @query(f"WITH {V}, b AS (SELECT min(i) AS i0, min(j) AS j0, min(k) AS k0 FROM f WHERE density > 0) SELECT i - i0 AS i, j - j0 AS j, k - k0 AS k, CAST(floor(density * 254) + 1 AS SMALLINT) AS q FROM f, b WHERE density > 0")
-def q23_quantize(spark, sf_dir):
+def q23_quantize(spark, sf_dir, field=field):
     return stencil.quantized(field(spark, sf_dir))
 
 
