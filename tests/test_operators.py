@@ -361,6 +361,32 @@ def test_blocks_that_have_not_changed_are_not_stored_again(spark, tmp_path):
     assert stored == {0: 384, 1: 65, 3: 1}
 
 
+def test_scenes_of_all_kinds_of_leaves(spark, tmp_path):
+    from voxmill.operators import scene, texture
+
+    (tmp_path / "cube.obj").write_text(CUBE)
+    cube = scene.Mesh(mesh.corners(*mesh.read_obj(spark, str(tmp_path / "cube.obj"))))
+    cells = region.region(spark, (8,) * 3, (16,) * 3)
+    at = lambda k: [(x - 8 + 0.5) / 8 - 0.5 for x in k]
+    ball, stored = scene.Shape(sdf.domain("sphere", inner=0.0)), scene.Field(cells_of(spark, [(8, 8, 8), (12, 12, 12)] * 2))
+    # a linear texture is sampled exactly between its outer points
+    grid_ = spark.createDataFrame([(i, j, k, i * 0.25 + j * 0.5 - k * 0.125) for i, j, k in product(range(4), repeat=3)], "i int, j int, k int, density double")
+    points = texture.sample(cells.select("i", "j", "k", *((F.col(c) - 8 + 0.5).alias(f"p{c}") for c in "ijk")), grid_, (4, 4, 4), tuple(F.col(f"p{c}") / 8 for c in "ijk")).collect()
+    clip = lambda x: min(max(x / 2 - 0.5, 0), 3)
+    assert all(p.sampled == pytest.approx(clip(p.pi) * 0.25 + clip(p.pj) * 0.5 - clip(p.pk) * 0.125) for p in points) and len(points) == 512
+    high = {(p.i, p.j, p.k) for p in points if p.sampled >= 0.7 - 1e-6}
+    tex = scene.Texture(grid_, (4, 4, 4), level=0.7)
+    tree = scene.difference(scene.union(ball, stored), scene.intersection(cube, tex))
+    in_ball = {k for k in product(range(8, 16), repeat=3) if math.dist(at(k), (0, 0, 0)) <= 0.5}
+    in_cube = set(product(range(10, 14), repeat=3))
+    got = scene.declared(cells, tree, 1 / 8, fixed=stored, loaded=tex)
+    assert keys(got) == (in_ball | {(8, 8, 8)}) - (in_cube & high)
+    assert {(r.i, r.j, r.k) for r in got.collect() if r.fixed} == {(8, 8, 8), (12, 12, 12)} & keys(got)
+    assert {(r.i, r.j, r.k) for r in got.collect() if r.fy is not None} == high & keys(got)
+    row = snapshots.record_iteration(str(tmp_path), "scene", got, 0, scene.counts(got))
+    assert row == {"cells": got.count(), "fixed": got.where("fixed").count(), "loaded": len(high & keys(got))}
+
+
 def test_small_parts_of_the_inventory(spark, tmp_path):
     """Text dumps, bounding boxes, initial densities, continuation and overrides."""
     c = cells_of(spark, BOX)
