@@ -271,6 +271,19 @@ def test_components_of_a_random_graph(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_many_partitions(spark, monkeypatch):
+    """Edges that no single task sees together: a path, a star and a grid in shuffled order, seven edges a task."""
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 7)
+    rng = np.random.default_rng(11)
+    edges = [(k, k + 1) for k in range(100)] + [(1000, 1000 + k) for k in range(1, 80)] + [(2000 + 10 * i + j, 2000 + 10 * i + j + d) for i in range(9) for j in range(9) for d in (1, 10)]
+    names = rng.permutation(3000)
+    rows = [(int(names[a]), int(names[b])) for a, b in rng.permutation(edges)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(rows, "src long, dst long").repartition(4)).collect()}
+    groups = [range(101), range(1000, 1080), {x for e in edges if e[0] >= 2000 for x in e}]
+    want = {int(names[x]): int(min(names[y] for y in g)) for g in groups for x in g}
+    assert got == want
+
+
 def test_smoothing_of_a_constant(spark):
     c = cells_of(spark, BOX).withColumn("dc0", F.lit(-2.0))
     for r in stencil.smooth(c).collect():

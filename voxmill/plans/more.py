@@ -310,7 +310,7 @@ SCENE = ", ".join(f"(CAST({c} AS DOUBLE) + 0.5) / {e!r} - 0.5 AS {x}" for c, e,
 @query(f"""
 WITH {V}, {_sampled(W_CELLS, '0.5')}, u AS (SELECT s.*, {SCENE}, f.n IS NOT NULL AS stored FROM s LEFT JOIN f USING (i, j, k)), q AS (
   SELECT i, j, k, x, y, z, greatest(sqrt(x * x + y * y + z * z) - 0.5, 0.4 - sqrt(x * x + y * y + z * z)) <= 1e-6 AS shell, greatest(abs(x) - 0.3, abs(y) - 0.3, abs(z) - 0.3) <= 1e-6 AS box, 0.25 - value <= 1e-6 AS dense, stored FROM u
-) SELECT i, j, k, stored AND dense AS fixed, CASE WHEN shell THEN 0.0::DOUBLE END AS fx, CASE WHEN shell THEN -1.0::DOUBLE END AS fy, CASE WHEN shell THEN 0.5::DOUBLE END AS fz FROM q WHERE (shell OR dense) AND NOT (box AND NOT stored)""")
+) SELECT i, j, k, stored AND dense AS fixed, 0.0::DOUBLE AS fx, CASE WHEN shell THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS fy, CASE WHEN shell THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS fz FROM q WHERE (shell OR dense) AND NOT (box AND NOT stored)""")
 def w69_scene(spark, sf_dir):
     """A declared scene on the field that grows: a shell or a texture, without a box but for a stored field."""
     stored = field(spark, sf_dir)
@@ -318,4 +318,4 @@ def w69_scene(spark, sf_dir):
     dense, kept = scene.Texture(stored, RES, level=0.25), scene.Field(stored)
     domain = scene.difference(scene.union(shell, dense), scene.difference(box, kept))
     at = tuple((F.col(c).cast("double") + 0.5) / e - 0.5 for c, e in zip(KEY, EXTENT, strict=True))
-    return scene.declared(wide_field(spark, sf_dir).select(*KEY), domain, 1.0, scene.intersection(kept, dense), shell, (0.0, -1.0, 0.5), at)
+    return scene.declared(wide_field(spark, sf_dir).select(*KEY), domain, 1.0, scene.intersection(kept, dense), shell, (0.0, -1.0, 0.5), at).fillna(0.0, ["fx", "fy", "fz"])
