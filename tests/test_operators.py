@@ -374,6 +374,31 @@ def test_blocks_that_have_not_changed_are_not_stored_again(spark, tmp_path):
     assert stored == {0: 384, 1: 65, 3: 1}
 
 
+def test_slabs_skip_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    n, path = 96, str(tmp_path / "field")
+    cells = region.region(spark, (0, 0, -n // 2), (n, n, n // 2)).withColumn("density", F.rand(3))
+    snapshots.save_clustered(cells.repartition(6), path, group_bytes=4 << 10)
+    assert spark.read.parquet(path).count() == n**3
+    got = snapshots.slab(spark, path, "z", 7, 8, 0.5)
+    want = cells.where("k = 7 and density >= 0.5")
+    assert keys(got) == keys(want) and got.count() == want.count() > 3000
+    groups = [r for p in (tmp_path / "field").glob("*.parquet") for m in [pq.read_metadata(p)] for r in (m.row_group(g) for g in range(m.num_row_groups))]
+    col = {groups[0].column(c).path_in_schema: c for c in range(4)}["k"]
+    met = [g for g in groups if g.column(col).statistics.min <= 7 <= g.column(col).statistics.max]
+    assert len(groups) > 50 and sum(g.num_rows for g in met) < 0.25 * n**3
+    plan = got._jdf.queryExecution().executedPlan()
+    got._jdf.queryExecution().toRdd().count()
+    scans, todo = [], [plan]
+    while todo:
+        x = todo.pop()
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+        if x.nodeName().startswith("Scan parquet"):
+            scans.append(x.metrics().apply("numOutputRows").value())
+    assert scans and sum(scans) == sum(g.num_rows for g in met)  # other groups are never read
+
+
 def test_scenes_of_all_kinds_of_leaves(spark, tmp_path):
     from voxmill.operators import scene, texture
 

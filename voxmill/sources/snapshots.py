@@ -106,3 +106,27 @@ def load_blocks(spark: SparkSession, path: str, iteration: int | None = None) ->
     """The cells of all blocks as the newest iterations up to one have them."""
     newest = _newest(spark, path, iteration).where("digest is not null").drop("digest")
     return spark.read.parquet(f"{path}/cells").join(newest, [*BLOCK_KEY, "iter"], "left_semi").drop(*BLOCK_KEY, "iter")
+
+
+def curve_key(block: int = 8) -> Column:
+    """A block's place on a space-filling curve: the bits of its three numbers in turn, 20 of each."""
+    spread = lambda c: sum((F.shiftleft(F.shiftright(c, n).bitwiseAND(F.lit(1)), 3 * n) for n in range(1, 20)), c.bitwiseAND(F.lit(1)))
+    at = [F.floor(F.col(c) / block).cast("long") + (1 << 19) for c in KEY]
+    return spread(at[0]) + F.shiftleft(spread(at[1]), 1) + F.shiftleft(spread(at[2]), 2)
+
+
+def save_clustered(cells: DataFrame, path: str, group_bytes: int = 16 << 20, block: int = 8) -> None:
+    """Cells in the order of a space-filling curve of their blocks, so that each row group of the files covers a small box.
+
+    What a slab, a slice or a threshold in a region asks for then skips row groups by their statistics.
+    """
+    key = cells.withColumn("_key", curve_key(block=block))
+    ordered = key.repartitionByRange("_key").sortWithinPartitions("_key", *KEY).drop("_key")
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
+def slab(spark: SparkSession, path: str, axis: str, low: int, high: int, least: float | None = None) -> DataFrame:
+    """The stored cells whose index on an axis (x, y or z) is in the half-open range, with a density of ``least`` at least."""
+    c = F.col(KEY["xyz".index(axis)])
+    found = spark.read.parquet(path).where((c >= low) & (c < high))
+    return found if least is None else found.where(F.col("density") >= least)
