@@ -425,6 +425,17 @@ def test_scenes_of_all_kinds_of_leaves(spark, tmp_path):
     assert row == {"cells": got.count(), "fixed": got.where("fixed").count(), "loaded": len(high & keys(got))}
 
 
+def test_states_of_a_scope_and_loaded_bands(spark, tmp_path):
+    c = cells_of(spark, product(range(8), repeat=3), 0.0).withColumn("density", F.when(F.expr("i = 1 and j = 1 and k = 1"), 0.9).otherwise(F.lit(0.0)))
+    snapshots.save_state(str(tmp_path), {"cells": c}, 1, scope=band.thin(c, 0.5))
+    got, _ = snapshots.load_state(spark, str(tmp_path))
+    assert keys(got["cells"]) == set(product(range(4), repeat=3)) and got["cells"].columns == c.columns
+    stored = spark.createDataFrame([(3, 3, 3, 2.0), (0, 0, 0, -1.0), (7, 7, 7, 0.0), (9, 9, 9, 1.0)], "i int, j int, k int, density double")
+    cells, thin_blocks, fat_blocks, dropped = snapshots.load_density_with_bands(c, stored, minimum=0.5)
+    assert {(r.i, r.j, r.k): r.density for r in cells.where("density <> 0").collect()} == {(3, 3, 3): 1.0} and cells.count() == 512
+    assert [tuple(r)[:3] for r in thin_blocks.collect()] == [(0, 0, 0)] and fat_blocks.count() == 8 and keys(dropped) == {(9, 9, 9)}
+
+
 def test_small_parts_of_the_inventory(spark, tmp_path):
     """Text dumps, bounding boxes, initial densities, continuation and overrides."""
     c = cells_of(spark, BOX)

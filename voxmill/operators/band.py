@@ -53,3 +53,21 @@ def solver_density(cells: DataFrame, fatter_blocks: DataFrame, fat_blocks: DataF
     mark = fat_blocks.select(*BLOCK_KEY).distinct().withColumn("_fat", F.lit(True))
     value = F.when(F.col("_fat"), F.greatest("density", F.lit(2.2250738585072014e-308))).otherwise(0.0)
     return own.join(mark, BLOCK_KEY, "left").select(*KEY, value.alias("density"))
+
+
+def clear_gradients(cells: DataFrame, fat_blocks: DataFrame, gradient: str = "dc0", size: Box = BLOCK) -> DataFrame:
+    """The cells with a gradient of 0 in the fat blocks."""
+    mark = fat_blocks.select(*BLOCK_KEY).distinct().withColumn("_fat", F.lit(True))
+    own = with_block(cells, size).join(mark, BLOCK_KEY, "left")
+    return own.withColumn(gradient, F.when(F.col("_fat"), 0.0).otherwise(F.col(gradient))).drop("_fat", *BLOCK_KEY)
+
+
+def block_state(container: DataFrame, thin_blocks: DataFrame, fat_blocks: DataFrame, fatter_blocks: DataFrame) -> DataFrame:
+    """(bi, bj, bk, container, thin, fat, fatter): all sets of blocks as one table of marks; one aggregation refreshes it."""
+    names = ("container", "thin", "fat", "fatter")
+    every = None
+    for n, blocks in enumerate((container, thin_blocks, fat_blocks, fatter_blocks)):
+        own = blocks.select(*BLOCK_KEY, F.lit(1 << n).alias("mark"))
+        every = own if every is None else every.union(own)
+    marks = every.groupBy(*BLOCK_KEY).agg(F.bit_or("mark").alias("mark"))
+    return marks.select(*BLOCK_KEY, *((F.col("mark").bitwiseAND(F.lit(1 << n)) != 0).alias(name) for n, name in enumerate(names)))

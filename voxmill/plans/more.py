@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions import grid, sdf
-from voxmill.functions.grid import CORNERS, KEY
-from voxmill.operators import components, conditions, optimize, predicates, region, scene, search, stencil, texture
-from voxmill.plans.queries import BLOCKS, DX, NODES, OFF8, ORACLE_SQL, QUERIES, THIN, V, field, offsets_sql, query, r6
+from voxmill.functions.grid import BLOCK_KEY, CORNERS, KEY, with_block
+from voxmill.operators import band, components, conditions, optimize, predicates, region, scene, search, stencil, texture
+from voxmill.plans.queries import BLOCKS, FAT, DX, NODES, OFF8, ORACLE_SQL, QUERIES, THIN, V, _fat, field, offsets_sql, query, r6
 from voxmill.session import checkpoint
 from voxmill.sources import snapshots
 
@@ -319,3 +319,46 @@ def w69_scene(spark, sf_dir):
     domain = scene.difference(scene.union(shell, dense), scene.difference(box, kept))
     at = tuple((F.col(c).cast("double") + 0.5) / e - 0.5 for c, e in zip(KEY, EXTENT, strict=True))
     return scene.declared(wide_field(spark, sf_dir).select(*KEY), domain, 1.0, scene.intersection(kept, dense), shell, (0.0, -1.0, 0.5), at).fillna(0.0, ["fx", "fy", "fz"])
+
+
+@query(ORACLE_SQL["q46_wheel_load"].replace("round(-y, 6) + 0.0 AS fx, round(x, 6) + 0.0 AS fy, CAST(0 AS DOUBLE) AS fz", "CAST(0 AS DOUBLE) AS fx, CAST(0 AS DOUBLE) AS fy, CAST(1 AS DOUBLE) AS fz"))
+def q70_wheel_shear(spark, sf_dir):
+    return conditions.wheel_load(moved(region.nodes_of(field(spark, sf_dir))), DX, shear=True)
+
+
+@query(f"WITH {W} SELECT i, j, k, n, round(density, 6) + 0.0 AS density FROM f WHERE k >= 2 AND k < 4 AND density >= 0.4")
+def w71_slab(spark, sf_dir):
+    """A slab of the field over a threshold."""
+    return r6(snapshots.in_slab(wide_field(spark, sf_dir), "z", 2, 4, 0.4), "density")
+
+
+_UP = "up AS (SELECT DISTINCT bi + x AS bi, bj + y AS bj, bk + z AS bk FROM fat CROSS JOIN o INTERSECT SELECT * FROM box)"
+
+
+@query(f"""WITH {W}, {FAT}, {OFF8}, {_UP}
+SELECT bi, bj, bk, true AS container, (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM thin) AS thin, (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM fat) AS fat, (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM up) AS fatter FROM box""")
+def w72_block_state(spark, sf_dir):
+    """All sets of blocks as one table of marks."""
+    v, fat_blocks, box = _fat(spark, sf_dir, wide_field)
+    return band.block_state(box, band.thin(v, 0.6), fat_blocks, band.fatter(fat_blocks, box))
+
+
+@query(f"WITH {W}, {FAT} SELECT i, j, k, CASE WHEN (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM fat) THEN 0.0::DOUBLE ELSE round(-3 * density * density, 6) + 0.0 END AS dc0 FROM (SELECT *, {BLOCKS} FROM f)")
+def w73_clear_gradients(spark, sf_dir):
+    v, fat_blocks, _ = _fat(spark, sf_dir, wide_field)
+    return r6(band.clear_gradients(v.select(*KEY, (-3 * F.col("density") * F.col("density")).alias("dc0")), fat_blocks), "dc0")
+
+
+LOADED = f"""
+c AS (SELECT i, j, k FROM v), l AS (SELECT i + 1 AS i, j, k, greatest(least(density * 2 - 0.9, 1), 0) AS density FROM (SELECT *, n / CAST((SELECT max(n) FROM v) AS DOUBLE) AS density FROM v) WHERE density * 2 - 0.9 <> 0
+), f AS (SELECT c.i, c.j, c.k, coalesce(l.density, 0) AS density FROM c LEFT JOIN l USING (i, j, k))"""
+
+
+@query(f"WITH {W.rsplit(', f AS', 1)[0].rstrip()}, {LOADED}, {FAT.replace('density > 0.55', 'density > 1e-6')} SELECT bi, bj, bk, (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM thin) AS thin, (bi, bj, bk) IN (SELECT (bi, bj, bk) FROM fat) AS fat FROM box")
+def w74_loaded_bands(spark, sf_dir):
+    """Stored densities, moved by a cell, in the container of the field that grows: which blocks become thin and fat."""
+    v = wide_field(spark, sf_dir)
+    stored = v.select((F.col("i") + 1).cast("int").alias("i"), "j", "k", (F.col("density") * 2 - 0.9).alias("density"))
+    cells, thin_blocks, fat_blocks, _ = snapshots.load_density_with_bands(v, stored, minimum=0.6)
+    box = with_block(cells).select(*BLOCK_KEY).distinct()
+    return band.block_state(box, thin_blocks, fat_blocks, box).select(*BLOCK_KEY, "thin", "fat")

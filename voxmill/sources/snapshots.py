@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.grid import BLOCK, BLOCK_KEY, KEY, with_block
+from voxmill.operators.band import fat, thin
 from voxmill.session import checkpoint
 
 
-def save_state(path: str, tables: dict[str, DataFrame], iteration: int, compact: bool = False) -> None:
-    """Writes each table, of ``cells`` only density and flags if compact, and last of all the iteration."""
+def save_state(path: str, tables: dict[str, DataFrame], iteration: int, compact: bool = False, scope: DataFrame | None = None) -> None:
+    """Writes each table, of ``cells`` only density and flags if compact, and only those in the blocks ``scope`` if given (thin ones, say), and last of all the iteration."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
+        if scope is not None and name == "cells":
+            df = with_block(df).join(scope.select(*BLOCK_KEY).distinct(), BLOCK_KEY, "left_semi").drop(*BLOCK_KEY)
         if compact and name == "cells":
             df = df.select(*KEY, *(c for c in ("flags", "density") if c in df.columns))
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -41,6 +44,15 @@ def load_density(container: DataFrame, stored: DataFrame, penalty: float = 3.0)
     return d.join(keys, KEY, "left_semi"), d.join(keys, KEY, "left_anti")
 
 
+def load_density_with_bands(container: DataFrame, stored: DataFrame, penalty: float = 3.0, minimum: float = 0.0, threshold: float = 1e-6) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, thin, fat, dropped): the whole container with the stored densities, 0 where none is, and both bands of blocks made anew."""
+    kept, dropped = load_density(container, stored, penalty)
+    rest = container.drop("density")
+    cells = checkpoint(rest.join(kept, KEY, "left").withColumn("density", F.coalesce("density", F.lit(0.0))))
+    thin_blocks = thin(cells, minimum, threshold)
+    return cells, thin_blocks, fat(cells, thin_blocks, with_block(cells).select(*BLOCK_KEY).distinct(), threshold=threshold), dropped
+
+
 def as_text(df: DataFrame, path: str) -> None:
     """A readable dump: a JSON object a line."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
@@ -125,8 +137,13 @@ def save_clustered(cells: DataFrame, path: str, group_bytes: int = 16 << 20, blo
     ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
 
 
-def slab(spark: SparkSession, path: str, axis: str, low: int, high: int, least: float | None = None) -> DataFrame:
-    """The stored cells whose index on an axis (x, y or z) is in the half-open range, with a density of ``least`` at least."""
+def in_slab(cells: DataFrame, axis: str, low: int, high: int, least: float | None = None) -> DataFrame:
+    """The cells whose index on an axis (x, y or z) is in the half-open range, with a density of ``least`` at least."""
     c = F.col(KEY["xyz".index(axis)])
-    found = spark.read.parquet(path).where((c >= low) & (c < high))
+    found = cells.where((c >= low) & (c < high))
     return found if least is None else found.where(F.col("density") >= least)
+
+
+def slab(spark: SparkSession, path: str, axis: str, low: int, high: int, least: float | None = None) -> DataFrame:
+    """``in_slab`` of stored cells."""
+    return in_slab(spark.read.parquet(path), axis, low, high, least)
