@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     # the sample has a fixed bound, so one task can hold it; the driver gets the weights alone
-    fitted = texts.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).repartition(1).mapInPandas(run, "model binary")
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # of several texts of an id always the same one
+    fitted = texts.groupBy("doc_id", "y").agg(text.alias("t")).select("doc_id", "t.text", "y").repartition(1).mapInPandas(run, "model binary")
     weights = fitted.first()  # none if Spark knows the sample to be empty
     return pickle.loads(weights[0]) if weights else Model(0.0)
 
