@@ -518,7 +518,7 @@ def test_edited_passages_cover_brute_force():
 def windows(rows):
     """(value, doc, centre, what stands on both sides, codes) with a reach of 40 to both sides."""
     look = [(near << 30) | codes for *_, near, codes in rows]
-    columns = [*zip(*(r[:3] for r in rows), strict=True), [40] * len(rows), [40] * len(rows), look]
+    columns = [*zip(*(r[:3] for r in rows), strict=True), [40] * len(rows), [40] * len(rows), look, [0] * len(rows)]
     return {k: np.array(x, t) for (k, t), x in zip(substrings.WINDOW, columns, strict=True)}
 
 
@@ -620,6 +620,61 @@ def test_edited_passages_are_found(spark, families, size, words, edits):
     assert size > 2 or np.mean([p in direct for p in pairs]) >= 0.97
 
 
+@pytest.mark.parametrize(("stock", "pairs", "filler"), [(40, 200, 2000), (20, 200, 2000), (8, 200, 4000), (8, 200, 0)])
+def test_passages_of_stock_phrases_are_found(spark, stock, pairs, filler):
+    """Text of stock phrases: brute force finds the pairs that repeat 50 words, and nearly all have a row."""
+    rng = random.Random(stock + filler)
+    phrases = [prose(rng, 20, 10**6) for _ in range(stock)]
+    orders = rng.sample([(x, y, z) for x in range(stock) for y in range(stock) for z in range(stock)], pairs)
+    rows = [(2 * n + half, f"{prose(rng, 80, 10**6)} {' '.join(phrases[x] for x in order)} {prose(rng, 80, 10**6)}", "a") for n, order in enumerate(orders) for half in (0, 1)]
+    rows += [(10_000 + i, " ".join(f"{prose(rng, 40, 10**6)} {rng.choice(phrases)}" for _ in range(3)), "a") for i in range(filler)]
+    holders = defaultdict(set)
+    for i, t, _ in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            holders[hash(tuple(w[k : k + 50]))].add(i)
+    repeats = {p for ids in holders.values() for p in combinations(sorted(ids), 2)}
+    assert len(repeats) >= pairs
+    out = substrings.repeated_passages(frame(spark, rows)).collect()
+    direct = {(r.source_id, r.doc_id) for r in out}
+    assert np.mean([p in direct for p in repeats]) >= 0.97
+    top = groups_of(out)
+    assert np.mean([top(a) == top(b) for a, b in repeats]) >= 0.97
+
+
+def test_crowded_values_meet_whatever_task_they_stand_in(spark):
+    """A phrase that is crowded in some tasks and not in others; pairs of equal passages stand in different tasks."""
+    rng = random.Random(31)
+    phrase = prose(rng, 24, 10**6)
+    pairs = [f"{prose(rng, 20, 10**6)} {phrase} {prose(rng, 20, 10**6)}" for _ in range(12)]
+    text = lambda p: f"{prose(rng, 60, 10**6)} {p} {prose(rng, 60, 10**6)}"
+    crowd = [(100 + i, text(phrase), "a") for i in range(60)] + [(i, text(p), "a") for i, p in enumerate(pairs)]
+    few = [(1000 + i, text(p), "a") for i, p in enumerate(pairs)]
+    split = frame(spark, crowd).coalesce(1).union(frame(spark, few[:6]).coalesce(1)).union(frame(spark, few[6:]).coalesce(1))
+    out = {(r.source_id, r.doc_id) for r in substrings.repeated_passages(split).collect()}
+    assert out == {(i, 1000 + i) for i in range(12)}
+
+
+def test_runs_around_hold_every_equal_passage():
+    """Two windows with an equal passage of the least length around their centres share a run."""
+    rng = np.random.default_rng(5)
+    for width in (46, 30, 21):
+        step = substrings.step_of(width)
+        for before in range(width):
+            after = width - 1 - before
+            own = rng.integers(0, 16, (2, 16)).astype(np.uint64)
+            own[1, :8][: before // step] = own[0, :8][: before // step]
+            own[1, 8:][: after // step] = own[0, 8:][: after // step]
+            w = gather_of(own, before, after)
+            assert any(len(start) < len(at) == 2 for at, start, _ in (substrings.runs_around(w, k, width) for k in range(substrings.STEPS + 1)))
+
+
+def gather_of(nibbles, before, after):
+    around = np.array([sum(int(x) << 60 - 4 * k for k, x in enumerate(row)) for row in nibbles], np.uint64)
+    columns = [[4, 4], [1, 2], [100, 100], [before, before], [after, after], [0, 0], around]
+    return {k: np.array(x, t) for (k, t), x in zip(substrings.WINDOW, columns, strict=True)}
+
+
 def test_passages_behind_a_million_words(spark):
     rng = random.Random(21)
     passage = prose(rng, 70, 10**6)
