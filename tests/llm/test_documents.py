@@ -642,6 +642,60 @@ def test_passages_of_stock_phrases_are_found(spark, stock, pairs, filler):
     assert np.mean([top(a) == top(b) for a, b in repeats]) >= 0.97
 
 
+def test_edited_passages_of_stock_phrases_are_found(spark):
+    """Pairs of five stock phrases, one with two words replaced, among documents that hold the phrases alone."""
+    rng = random.Random(2008)
+    phrases = [prose(rng, 20, 10**6).split() for _ in range(8)]
+    rows = [(10_000 + i, " ".join(f"{prose(rng, 40, 10**6)} {' '.join(rng.choice(phrases))}" for _ in range(3)), "a") for i in range(1000)]
+    for n in range(100):
+        passage = [w for phrase in rng.sample(phrases, 5) for w in phrase]
+        rows.append((2 * n, f"{prose(rng, 80, 10**6)} {' '.join(passage)} {prose(rng, 80, 10**6)}", "a"))
+        for at in (rng.randrange(28, 38), rng.randrange(62, 72)):
+            passage[at] = f"e{rng.randrange(10**9)}"
+        rows.append((2 * n + 1, f"{prose(rng, 80, 10**6)} {' '.join(passage)} {prose(rng, 80, 10**6)}", "a"))
+    top = groups_of(substrings.repeated_passages(frame(spark, rows)).collect())
+    assert np.mean([top(2 * n) == top(2 * n + 1) for n in range(100)]) >= 0.97
+
+
+def test_sharing_equals_brute_force():
+    """Windows of one cell and unlike labels that share enough values, and no other pairs."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        m = 60
+        held = [rng.integers(0, rng.choice([40, 4000]), rng.integers(5, 60)).astype(np.uint32) for _ in range(m)]
+        cell, label, least = rng.integers(-2, 1, m), rng.integers(0, 20, m), rng.integers(1, 25, m).astype(np.int32)
+        common = [[len(set(x.tolist()) & set(y.tolist())) for y in held] for x in held]
+        want = {(i, j) for i, j in combinations(range(m), 2) if cell[i] == cell[j] and label[i] != label[j] and common[i][j] >= max(least[i], least[j])}
+        found = [tuple(sorted(p)) for i, j in substrings.sharing(cell, label, least, held) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_blocks_of_a_value_are_all_compared(spark):
+    """Blocks of few windows give what one block gives, once each."""
+    rng = random.Random(17)
+    phrase = prose(rng, 30, 10**6)
+    rows = [(i, f"{prose(rng, 60, 10**6)} {phrase} {prose(rng, 60, 10**6)}", "a") for i in range(40)]
+    texts, want = frame(spark, rows).select("doc_id", "text"), None
+    width = 20
+    s, ends = text.shingles(*text.word_hashes(*next(iter(text.slices(pa.array([phrase]))))[1:]), 5)
+    value = int((text.mix(s[9:10]) >> np.uint64(16))[0]) & (2**48 - 4)
+    for parts in (1, 7):
+        crowd = spark.createDataFrame([(i, value, i, parts, 69, 40, 100) for i in range(40)], "doc_id long, value long, label long, parts int, c int, b_lo int, b_hi int")
+        out = {(r.b, r.a): (r.b_lo, r.b_hi) for r in substrings.compared(texts, crowd, 5, width, 75, 4).collect()}
+        assert set(out) == {(b, a) for a, b in combinations(range(40), 2)}
+        want = want or out
+        assert out == want
+
+
+def test_least_shared_counts_distinct_values():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        s, width = rng.integers(0, rng.choice([3, 20, 10**6]), 50), 12
+        c = int(rng.integers(0, 50))
+        distinct = min(len(set(s[p : p + width].tolist())) for p in range(max(0, c - width + 1), min(c, 50 - width) + 1))
+        assert substrings.least_shared(s, c, width, 75) == -(-75 * distinct // 100)
+
+
 def test_crowded_values_meet_whatever_task_they_stand_in(spark):
     """A phrase that is crowded in some tasks and not in others; pairs of equal passages stand in different tasks."""
     rng = random.Random(31)
