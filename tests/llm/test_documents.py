@@ -687,6 +687,58 @@ def test_blocks_of_a_value_are_all_compared(spark):
         assert out == want
 
 
+def test_blocks_of_a_value_are_connected_by_few_pairs(spark):
+    """Common values give fewer pairs than windows in each pair of blocks, and lose no connection."""
+    rng = random.Random(18)
+    phrases = [prose(rng, 30, 10**6) for _ in range(2)]
+    rows = [(i, f"{prose(rng, 60, 10**6)} {phrases[i % 2]} {phrases[0]} {prose(rng, 60, 10**6)}", "a") for i in range(40)]
+    s, _ = text.shingles(*text.word_hashes(*next(iter(text.slices(pa.array([phrases[0]]))))[1:]), 5)
+    value = int((text.mix(s[9:10]) >> np.uint64(16))[0]) & (2**48 - 4)
+    for parts in (1, 3):
+        crowd = spark.createDataFrame([(i, value, i, parts, 99, 70, 120) for i in range(40)], "doc_id long, value long, label long, parts int, c int, b_lo int, b_hi int")
+        out = substrings.compared(frame(spark, rows).select("doc_id", "text"), crowd, 5, 20, 75, 4, every=False).collect()
+        assert len(out) < 40 * parts * (parts + 1) / 2
+        up = list(range(40))
+        for r in out:
+            up = [up[r.a] if x == up[r.b] else x for x in up]
+        assert len(set(up)) == 1
+
+
+def test_connecting_equals_brute_force():
+    """The components are those of all pairs with similar passages around both centres, whatever repeats and edits there are."""
+    rng = np.random.default_rng(4)
+    width, linked = 20, 0
+    for turn in range(20):
+        base, held, centre = rng.integers(0, [30, 10**6][turn % 2], (3, 60)), [], []
+        for _ in range(50):
+            own = base[rng.integers(0, 3)].copy()
+            own[rng.integers(0, 60, rng.integers(0, 16))] = rng.integers(10**6, 10**9)
+            if rng.integers(0, 3) == 0:
+                own = np.concatenate([own[30:], own[:30]])
+            first = int(rng.integers(0, 20))
+            held.append(own[first : 60 - int(rng.integers(0, 15))].astype(np.uint32))
+            centre.append(30 - first + int(rng.integers(-1, 2)))
+        centre, doc = np.array(centre), rng.integers(0, 40, 50)
+        cell, label = rng.integers(0, 2, 50), rng.integers(0, 45, 50)
+        least = np.array([substrings.least_shared(x, c, width, 75) for x, c in zip(held, centre, strict=True)], np.int32)
+
+        def components(pairs):
+            up = list(range(50))
+            for a, b in pairs:
+                up = [up[a] if x == up[b] else x for x in up]
+            return up
+
+        same = [(a, b) for a, b in combinations(range(50), 2) if cell[a] == cell[b] and label[a] == label[b] and len({doc[k] for k in range(50) if cell[k] == cell[a] and label[k] == label[a]}) > 1]
+        around = lambda a, b: any(x[0] <= centre[b] < x[1] and x[2] <= centre[a] < x[3] for x in substrings.aligned_passages(held[b], held[a], width, 75))
+        pairs = [(a, b) for a, b in combinations(range(50), 2) if cell[a] == cell[b] and doc[a] != doc[b] and held[a][centre[a]] == held[b][centre[b]] and (around(a, b) if doc[a] < doc[b] else around(b, a))]
+        i, j = substrings.connecting(cell, label, doc, np.arange(50), centre, least, held, width, 75)
+        found = components([*same, *zip(i.tolist(), j.tolist(), strict=True)])
+        assert all(found[a] == found[b] for a, b in pairs)
+        assert len(i) < 50 and (cell[i] == cell[j]).all() and (doc[i] != doc[j]).all()
+        linked += len(pairs)
+    assert linked > 100
+
+
 def test_least_shared_counts_distinct_values():
     rng = np.random.default_rng(2)
     for _ in range(200):
