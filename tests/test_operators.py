@@ -188,6 +188,19 @@ def test_domains_reject_what_they_do_not_know():
         sdf.sphere(upper_only=True)
 
 
+def test_upscaled_fields_meet_by_a_shuffle(spark):
+    low, scale = (2, -3, 4), 3
+    fine = region.region(spark, low, tuple(a + 9 for a in low))
+    coarse = region.region(spark, (0, 0, 0), (3, 3, 3)).withColumn("density", (F.col("i") * 9 + F.col("j") * 3 + F.col("k")).cast("double")).where("density <> 13")
+    got = region.upscale(fine, coarse, low, scale)
+    at = lambda p: tuple((c - a + s) // scale for c, a, s in zip(p, low, (0, 0, scale - 1), strict=True))
+    met = {p: at(p) for p in product(*(range(a, a + 9) for a in low))}
+    want = {(*p, 9.0 * i + 3 * j + k) for p, (i, j, k) in met.items() if k < 3 and (i, j, k) != (1, 1, 1)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # small as they are
+
+
 def test_mirrored_populate_adds_a_symmetry_plane(spark):
     got = region.populate(spark, (4, 4, 4), sdf.dense(), mirror="x")
     assert got.agg(F.max("i")).first()[0] == 4 // 2 + 8 + 1

@@ -34,6 +34,13 @@ def test_query_equals_sql(spark, db, name):
     assert plain(plans.QUERIES[name](spark, str(SF)).toPandas()) == plain(db.sql(plans.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["q05_upscale", "w05_upscale"])
+def test_fields_are_not_broadcast(spark, name):
+    got = plans.QUERIES[name](spark, str(SF))
+    assert got.collect()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()  # as it ran: only single rows are broadcast
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -115,8 +115,12 @@ def from_field(stored: DataFrame, scaling: int = 1, value: str = "density") -> D
 
 
 def upscale(cells: DataFrame, coarse: DataFrame, bounds0: Box, scale: int, value: str = "density") -> DataFrame:
-    """Each cell with the value of the coarse cell it falls in (nearest, the last axis one cell late)."""
+    """Each cell with the value of the coarse cell it falls in (nearest, the last axis one cell late).
+
+    Both sides are fields, so they meet by a shuffle: Spark's estimate doesn't see that cells are made by
+    exploding, and would broadcast all of them through the driver.
+    """
     shift = (0, 0, scale - 1)
     keys = [F.expr(f"({c} - {b} + {s}) div {scale}").cast("int").alias(f"_{c}") for c, b, s in zip(KEY, bounds0, shift, strict=True)]
     src = coarse.select(*(F.col(c).alias(f"_{c}") for c in KEY), F.col(value).alias("value"))
-    return cells.select(*KEY, *keys).join(src, [f"_{c}" for c in KEY]).select(*KEY, "value")
+    return cells.select(*KEY, *keys).join(src.hint("merge"), [f"_{c}" for c in KEY]).select(*KEY, "value")
